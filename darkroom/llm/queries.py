@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from darkroom.functions.guid import guid
+from darkroom.llm.neighbours import most_similar
 from darkroom.llm.topn import top_n_per_group
 from darkroom.plans.staging import Staging
 from darkroom.sources.tables import read_table
@@ -18,8 +20,19 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return top_n_per_group(rows, "face_occurrence_id", "suggestion_id", "score_margin", ["rank"], 3, Staging(spark, "p4"))
 
 
+def p2_similar(spark: SparkSession, base: str) -> DataFrame:
+    """The five most similar other vectors of every valid vector, with their cosine."""
+    return most_similar(read_table(spark, base, "face_embeddings"), 5)
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs with a cosine of at least 0.95 of which one is among the five most similar of the other."""
+    near = p2_similar(spark, base).filter(F.col("cosine") >= 0.95)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+    return {"p2_found": p2_found, "p2_similar": p2_similar, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
