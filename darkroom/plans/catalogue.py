@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from darkroom.plans import archive_queries
+
+_MODULES: list = [archive_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
