@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.functions.guid import guid
+from darkroom.llm.bpe import count_tokens, encode_documents, tokenizer_path
+from darkroom.llm.clusters import similarity_clusters
 from darkroom.llm.neighbours import most_similar
+from darkroom.llm.packing import pack_documents
+from darkroom.llm.splits import assign_splits, photo_groups
 from darkroom.llm.topn import top_n_per_group
 from darkroom.plans.staging import Staging
 from darkroom.sources.tables import read_table
@@ -31,8 +35,36 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """The photos of every group of at least two photos that persons link."""
+    groups = photo_groups(read_table(spark, base, "photo_person_actions"), "person_id", "asset_revision_id", 2, Staging(spark, "p5"))
+    return groups.select(F.col("label").alias("group_person_id"), F.col("photo").alias("asset_revision_id"))
+
+
+def p5_splits(spark: SparkSession, base: str) -> DataFrame:
+    """The split of every record."""
+    return assign_splits(read_table(spark, base, "photo_person_actions"), read_table(spark, base, "split_shares"), "id", "person_id", "asset_revision_id", Staging(spark, "p5s"))
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    """The members of every cluster of at least three faces that cosines of 0.65 link."""
+    members = similarity_clusters(read_table(spark, base, "face_embeddings"), read_table(spark, base, "face_crops"), 0.65, 3, Staging(spark, "p7"))
+    return members.select("model_hash", "cluster_face_id", "face_occurrence_id").distinct()
+
+
+def p8_ids(spark: SparkSession, base: str) -> DataFrame:
+    """The token ids of every document by byte_bpe_50k."""
+    return encode_documents(read_table(spark, base, "documents"), tokenizer_path("byte_bpe_50k"))
+
+
+def p9_containers(spark: SparkSession, base: str) -> DataFrame:
+    """The container of 2,048 tokens of every document, or of every part of one that is longer."""
+    sizes = count_tokens(read_table(spark, base, "documents"), tokenizer_path("byte_bpe_50k"))
+    return pack_documents(sizes, "doc_id", "tokens", 2048, Staging(spark, "p9"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_similar": p2_similar, "p4_found": p4_found}
+    return {"p2_found": p2_found, "p2_similar": p2_similar, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -51,6 +51,7 @@ class Pivots:
 
     def __init__(self, by: dict[tuple, np.ndarray]):
         self.by = by
+        self._copies: dict[tuple, tuple] = {}
 
     @staticmethod
     def sample(vectors: DataFrame, per_cell: int, seed: int, most: int = MOST_PIVOTS) -> "Pivots":
@@ -89,6 +90,24 @@ class Pivots:
         return out
 
 
+    def number(self, key: tuple) -> int:
+        """A number of the revision, the same in every task."""
+        return sorted(self.by).index(tuple(key))
+
+    def split(self, key: tuple, nearest: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Cells in which vectors that very many rows repeat are spread over the copies of their pivot.
+
+        A blob that fills a third of the rows also fills a third of the pivots.
+        """
+        if key not in self._copies:
+            _, first, copies = np.unique(self.by[key], axis=0, return_inverse=True, return_counts=True)
+            order = np.argsort(first.ravel(), kind="stable")
+            self._copies[key] = (first.ravel(), copies, order, np.concatenate([[0], np.cumsum(copies)]))
+        kind, copies, order, start = self._copies[key]
+        k = kind[nearest]
+        return order[start[k] + ids % copies[k]]
+
+
 def by_revision(frame: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
     for key, rows in frame.groupby(["model_id", "model_hash", "dimensions"], sort=False):
         yield (key[0], key[1], int(key[2])), rows
