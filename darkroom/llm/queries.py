@@ -12,6 +12,7 @@ from darkroom.llm.bpe import count_tokens, encode_documents, tokenizer_path
 from darkroom.llm.clusters import similarity_clusters
 from darkroom.llm.neighbours import most_similar
 from darkroom.llm.packing import pack_documents
+from darkroom.llm.residue import residue_documents
 from darkroom.llm.splits import assign_splits, photo_groups
 from darkroom.llm.topn import top_n_per_group
 from darkroom.plans.staging import Staging
@@ -63,8 +64,13 @@ def p9_containers(spark: SparkSession, base: str) -> DataFrame:
     return pack_documents(sizes, "doc_id", "tokens", 2048, Staging(spark, "p9"))
 
 
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """The documents with residue in place of real content."""
+    return residue_documents(read_table(spark, base, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_similar": p2_similar, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+    return {"p2_found": p2_found, "p2_similar": p2_similar, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
