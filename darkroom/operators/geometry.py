@@ -58,59 +58,62 @@ def reconcile(existing: DataFrame, candidates: DataFrame, photo: str, least: flo
 
 
 def match_kinds(truth: DataFrame, candidates: DataFrame, photo: str, least: float) -> DataFrame:
-    """(photo, side, id, kind): the bipartite components of boxes of a photo.
+    """(photo, side, id, kind): the kinds of the bipartite components of a photo's boxes.
 
-    matched is one of each side; missed and false are alone; duplicate is one
-    true box with several candidates; all else is ambiguous. A photo's boxes are few and handled together.
+    matched is one box of each side; missed and false are alone; duplicate is
+    one true box with several candidates; all else is ambiguous. A component has
+    one true box if and only if none of that box's candidates overlaps another,
+    so degrees tell the kinds and no component has to be built.
     """
-    rows = truth.select(photo, F.lit("truth").alias("side"), F.col("id").cast("long").alias("id"), "x", "y", "w", "h").unionByName(candidates.select(photo, F.lit("candidate").alias("side"), F.col("id").cast("long").alias("id"), "x", "y", "w", "h"))
-
-    def components(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["side", "id"], ignore_index=True)
-        n = len(frame)
-        x, y, w, h = (frame[c].to_numpy() for c in ("x", "y", "w", "h"))
-        iw = np.maximum(np.minimum.outer(x + w, x + w) - np.maximum.outer(x, x), 0)
-        ih = np.maximum(np.minimum.outer(y + h, y + h) - np.maximum.outer(y, y), 0)
-        union = np.add.outer(w * h, w * h) - iw * ih
-        with np.errstate(all="ignore"):
-            near = np.where(union > 0, iw * ih / union, 0) + EPSILON >= least
-        side = frame["side"].to_numpy()
-        near &= side[:, None] != side[None, :]
-        label = np.arange(n)
-        while True:
-            new = np.minimum(label, np.where(near, label[None, :], n).min(axis=1))
-            if (new == label).all():
-                break
-            label = new
-        true = frame.groupby(label)["side"].transform(lambda s: (s == "truth").sum()).to_numpy()
-        found = frame.groupby(label)["side"].transform(lambda s: (s == "candidate").sum()).to_numpy()
-        kind = np.select([(true == 1) & (found == 1), (true == 1) & (found == 0), (true == 0) & (found == 1), (true == 1) & (found > 1)], ["matched", "missed", "false", "duplicate"], "ambiguous")
-        return frame[[photo, "side", "id"]].assign(kind=kind)
-
-    kind = dict(rows.dtypes)[photo]
-    return rows.groupBy(photo).applyInPandas(components, f"{photo} {kind}, side string, id long, kind string")
+    pairs = overlapping_pairs(truth, candidates, photo, least).select(photo, "l_id", "r_id")
+    pairs = pairs.withColumn("of_true", F.count(F.lit(1)).over(Window.partitionBy(photo, "l_id"))).withColumn("of_candidate", F.count(F.lit(1)).over(Window.partitionBy(photo, "r_id")))
+    pairs = pairs.withColumn("most", F.max("of_candidate").over(Window.partitionBy(photo, "l_id")))
+    kind = F.when((F.col("of_true") == 1) & (F.col("of_candidate") == 1), "matched").when((F.col("of_true") > 1) & (F.col("most") == 1), "duplicate").otherwise("ambiguous")
+    kinds = pairs.select(photo, "l_id", "r_id", kind.alias("kind"))
+
+    def side(rows: DataFrame, name: str, key: str, alone: str) -> DataFrame:
+        own = kinds.groupBy(photo, F.col(key).alias("id")).agg(F.first("kind").alias("kind"))
+        return rows.select(photo, "id").join(own, [photo, "id"], "left").select(photo, F.lit(name).alias("side"), F.col("id").cast("long").alias("id"), F.coalesce("kind", F.lit(alone)).alias("kind"))
+
+    return side(truth, "truth", "l_id", "missed").unionByName(side(candidates, "candidate", "r_id", "false"))
+
+
+#: Boxes that a task of ``suppress`` takes in one frame, on average.
+SUPPRESS_ROWS = 50_000
 
 
 def suppress(detections: DataFrame, photo: str, least: float, most: int | None = None) -> DataFrame:
-    """(photo, id) of the boxes that greedy non-maximum suppression keeps: highest score first, then the smallest id."""
+    """(photo, id) of the boxes that greedy non-maximum suppression keeps: highest score first, then the smallest id.
+
+    Suppression is sequential within a photo; photos are handled by the bucket, so none costs a frame of its own.
+    """
 
     def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "id"], ascending=[False, True], ignore_index=True)
+        frame = frame.sort_values([photo, "score", "id"], ascending=[True, False, True], ignore_index=True)
         x, y, w, h = (frame[c].to_numpy(dtype=float) for c in ("x", "y", "w", "h"))
-        alive, kept = np.ones(len(frame), dtype=bool), []
-        for i in range(len(frame)):
-            if not alive[i] or (most is not None and len(kept) >= most):
-                continue
-            kept.append(i)
-            iw = np.maximum(np.minimum(x + w, x[i] + w[i]) - np.maximum(x, x[i]), 0)
-            ih = np.maximum(np.minimum(y + h, y[i] + h[i]) - np.maximum(y, y[i]), 0)
-            union = w * h + w[i] * h[i] - iw * ih
-            with np.errstate(all="ignore"):
-                alive &= ~(np.where(union > 0, iw * ih / union, 0) > least)
+        area = w * h
+        edges = np.nonzero(frame[photo].to_numpy()[1:] != frame[photo].to_numpy()[:-1])[0] + 1
+        kept: list[int] = []
+        for lo, hi in zip([0, *edges], [*edges, len(frame)]):
+            alive, n = np.ones(hi - lo, dtype=bool), 0
+            for i in range(lo, hi):
+                if not alive[i - lo]:
+                    continue
+                if most is not None and n >= most:
+                    break
+                kept.append(i)
+                n += 1
+                rest = slice(i + 1, hi)
+                iw = np.minimum(x[rest] + w[rest], x[i] + w[i]) - np.maximum(x[rest], x[i])
+                ih = np.minimum(y[rest] + h[rest], y[i] + h[i]) - np.maximum(y[rest], y[i])
+                shared = np.maximum(iw, 0) * np.maximum(ih, 0)
+                alive[i + 1 - lo :] &= shared <= least * (area[rest] + area[i] - shared)
         return frame.loc[kept, [photo, "id"]]
 
     types = dict(detections.dtypes)
-    return detections.select(photo, "id", "score", "x", "y", "w", "h").groupBy(photo).applyInPandas(keep, f"{photo} {types[photo]}, id {types['id']}")
+    buckets = max(1, detections.count() // SUPPRESS_ROWS)
+    rows = detections.select(photo, "id", "score", "x", "y", "w", "h").withColumn("bucket", F.pmod(F.xxhash64(photo), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInPandas(keep, f"{photo} {types[photo]}, id {types['id']}")
 
 
 def tile_starts(length: Column, tile: int, overlap: int) -> Column:

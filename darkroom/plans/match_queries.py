@@ -130,14 +130,20 @@ def reconciliation_unmatched(spark: SparkSession, base: str) -> DataFrame:
     return reconcile(truth, cand, "photo")[1]
 
 
-@query()
+_KINDS = f"""WITH {_BOXES}, {_PAIRS}, e0 AS (SELECT photo, l_id, r_id, count(*) OVER (PARTITION BY photo, l_id) AS t, count(*) OVER (PARTITION BY photo, r_id) AS c FROM pairs WHERE iou + 1e-12 >= 0.3),
+e1 AS (SELECT *, max(c) OVER (PARTITION BY photo, l_id) AS m FROM e0), e2 AS (SELECT photo, l_id, r_id, CASE WHEN t = 1 AND c = 1 THEN 'matched' WHEN t > 1 AND m = 1 THEN 'duplicate' ELSE 'ambiguous' END AS kind FROM e1),
+kinds AS (SELECT t.photo, 'truth' AS side, t.id::BIGINT AS id, coalesce(e.kind, 'missed') AS kind FROM truth t LEFT JOIN (SELECT DISTINCT photo, l_id, kind FROM e2) e ON e.photo = t.photo AND e.l_id = t.id
+UNION ALL SELECT t.photo, 'candidate', t.id::BIGINT, coalesce(e.kind, 'false') FROM cand t LEFT JOIN (SELECT DISTINCT photo, r_id, kind FROM e2) e ON e.photo = t.photo AND e.r_id = t.id)"""
+
+
+@query(_KINDS + " SELECT photo, side, id, kind FROM kinds")
 def match_component_kinds(spark: SparkSession, base: str) -> DataFrame:
-    """Connected components within photos; SQL has no plain form of it."""
     truth, cand = _boxes(spark, base)
     return match_kinds(truth, cand, "photo", 0.3)
 
 
-@query()
+@query(_KINDS + """, n AS (SELECT count(*) FILTER (side = 'truth') AS faces, count(*) FILTER (side = 'truth' AND kind = 'matched') AS matched, count(*) FILTER (side = 'truth' AND kind = 'missed') AS missed, count(*) FILTER (side = 'candidate' AND kind = 'false') AS false_found,
+count(*) FILTER (side = 'candidate' AND kind = 'duplicate') AS duplicates, count(*) FILTER (kind = 'ambiguous') AS ambiguous FROM kinds) SELECT *, CASE WHEN faces = 0 THEN 1 ELSE round(matched / faces::DOUBLE, 6) END AS recall FROM n""")
 def detector_metrics(spark: SparkSession, base: str) -> DataFrame:
     """Recall and precision of the candidates, from the kinds of their components."""
     kinds = match_component_kinds(spark, base)
