@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from darkroom.plans.staging import Staging
 
 #: Documents of a block, islands of a block, epochs between migrations, and generations of an epoch.
-BLOCK, ISLANDS, EPOCHS, GENERATIONS = 4_000, 2, 2, 6
+BLOCK, ISLANDS, EPOCHS, GENERATIONS = 4_000, 2, 2, 16
 #: Packings of an island.
 POPULATION = 4
 #: A container that is filled less than this goes into the next round.
@@ -115,9 +115,8 @@ def _round(items: DataFrame, blocks: int, capacity: int, number: int, staging: S
     state = items.withColumn("block", F.pmod(F.xxhash64("key", "part", F.lit(number)), F.lit(blocks))).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).withColumn("own", F.lit(None).cast("long")).withColumn("guest", F.lit(None).cast("long"))
     schema = "key long, part long, size long, block long, island int, own long, guest long, fill long, bins long, least long, evenness double"
 
-    for epoch in range(EPOCHS):
-
-        def run(rows: pd.DataFrame, epoch: int = epoch) -> pd.DataFrame:
+    def task(epoch: int):  # noqa: ANN202
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values(["key", "part"], ignore_index=True)
             sizes = rows["size"].to_numpy(dtype=np.int64)
             rng = np.random.default_rng([seed, number, epoch, int(rows["block"][0]), int(rows["island"][0])])
@@ -128,9 +127,13 @@ def _round(items: DataFrame, blocks: int, capacity: int, number: int, staging: S
                     start.append(Packing(where, np.bincount(where, weights=sizes).astype(np.int64)))
             best = evolve(sizes, capacity, rng, GENERATIONS, start)
             bins, evenness = best.score(capacity)
-            return rows.assign(own=best.where, guest=pd.array([None] * len(rows), dtype="Int64"), fill=best.fill[best.where], bins=-bins, least=-(-int(sizes.sum()) // capacity), evenness=evenness)[["key", "part", "size", "block", "island", "own", "guest", "fill", "bins", "least", "evenness"]]
+            out = rows.assign(own=best.where, guest=pd.array([None] * len(rows), dtype="Int64"), fill=best.fill[best.where], bins=-bins, least=-(-int(sizes.sum()) // capacity), evenness=evenness)
+            return out[["key", "part", "size", "block", "island", "own", "guest", "fill", "bins", "least", "evenness"]]
 
-        done = staging.save(state.groupBy("block", "island").applyInPandas(run, schema))
+        return run
+
+    for epoch in range(EPOCHS):
+        done = staging.save(state.groupBy("block", "island").applyInPandas(task(epoch), schema))
         if epoch == EPOCHS - 1 or not done.filter("bins > least").limit(1).count():
             break
         # Elites migrate: each island meets the best packing of the island before it.
