@@ -15,6 +15,7 @@ from darkroom.llm.packing import pack_documents
 from darkroom.llm.residue import residue_documents
 from darkroom.llm.splits import assign_splits, photo_groups
 from darkroom.llm.topn import top_n_per_group
+from darkroom.plans.dialect import sql_guid
 from darkroom.plans.staging import Staging
 from darkroom.sources.tables import read_table
 
@@ -75,6 +76,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": f"""
+            WITH RECURSIVE pairs AS (SELECT DISTINCT {sql_guid("person_id")} AS p, {sql_guid("asset_revision_id")} AS r FROM photo_person_actions WHERE person_id IS NOT NULL),
+            links AS (SELECT DISTINCT a.p AS a, b.p AS b FROM pairs a JOIN pairs b ON a.r = b.r),
+            reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+            named AS (SELECT a AS p, min(b) AS label FROM reach GROUP BY a),
+            photos AS (SELECT DISTINCT label AS group_person_id, r AS asset_revision_id FROM pairs JOIN named USING (p))
+            SELECT group_person_id, asset_revision_id FROM photos QUALIFY count(*) OVER (PARTITION BY group_person_id) >= 2""",
         "p4_found": """
             WITH best AS (
               SELECT lower(face_occurrence_id) AS face_occurrence_id, suggestion_id, score_margin, rank,
