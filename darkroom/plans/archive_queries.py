@@ -89,7 +89,13 @@ walk AS (
   UNION ALL
   SELECT w.v, k.p, w.depth + 1, list_append(w.seen, w.at), list_contains(w.seen, w.at)
   FROM walk w JOIN known k ON k.v = w.at WHERE k.p IS NOT NULL AND NOT w.circle)"""
+    near = "2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 50"
     return {
+        "p6_found": f"""WITH photos AS (SELECT DISTINCT lower(asset_revision_id) AS key, latitude AS lat, longitude AS lon FROM photo_capture_metadata WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0)),
+places AS (SELECT DISTINCT place_value AS key, latitude AS lat, longitude AS lon FROM photo_place_reverse_geocode_cache WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0))
+SELECT DISTINCT 'photo' AS kind, a.key AS key_a, b.key AS key_b FROM photos a JOIN photos b ON a.key < b.key AND abs(a.lat - b.lat) < 0.001 WHERE {near}
+UNION SELECT 'place', a.key, b.key FROM photos a JOIN places b ON abs(a.lat - b.lat) < 0.001 WHERE {near}
+UNION SELECT 'area', a.key, b.area_id FROM photos a JOIN place_areas b ON a.lat BETWEEN b.south AND b.north AND a.lon BETWEEN b.west AND b.east""",
         "p3_found": walk + """,
 ends AS (SELECT v, max(depth) AS depth, bool_or(circle) AS circle FROM walk GROUP BY v)
 SELECT e.v AS person_id, CASE WHEN e.circle THEN list_min(list_slice(w.seen, list_position(w.seen, w.seen[-1]), len(w.seen) - 1)) ELSE w.at END AS root_person_id,
