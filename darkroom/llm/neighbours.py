@@ -27,7 +27,7 @@ from darkroom.functions.vectors import decode, unit_rows
 from darkroom.llm.routing import Pivots, by_revision, pack, unpack, valid_vectors
 
 #: Vectors to a pivot, and the cells that a vector enters.
-PER_CELL, CELLS = 200, 3
+PER_CELL, CELLS = 200, 5
 #: Sorted arrays of a cell.
 PROJECTIONS = 16
 #: Rounds of virtual rehashing: half width of the windows in units of a projection of a unit vector, and the collisions that ask for verification.
