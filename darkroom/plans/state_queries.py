@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from darkroom.functions.guid import guid
 from darkroom.functions.paths import ancestors, canonical_place, leaf, parent
 from darkroom.operators.collections import holds, in_box, neighbours_in_queue, on_days, page, within_place
-from darkroom.operators.evaluation import hash_order, lru_release
+from darkroom.operators.evaluation import hash_order, lru_release, ratio
 from darkroom.operators.latest import active_reviews, latest_by, latest_by_id
 from darkroom.operators.mutations import delete_stale, insert_if_absent, remap, selection_token, snapshot_diff, upsert
+from darkroom.operators.places import display_label, resolve_chains
 from darkroom.plans.dialect import sql_guid
 from darkroom.plans.staging import Staging
 from darkroom.sources.tables import read_table as t
@@ -390,6 +391,45 @@ def crops_without_ranking(spark: SparkSession, base: str) -> DataFrame:
     return t(spark, base, "face_crops").select("face_occurrence_id").subtract(t(spark, base, "identity_suggestion_rankings").select("face_occurrence_id"))
 
 
+@query(f"""WITH {_PLACES}, cells AS (SELECT DISTINCT floor(latitude * 10) AS lat, floor(longitude * 10) AS lon, place FROM plc), deep AS (SELECT lat, lon, max_by(place, (length(place), place)) AS deepest FROM cells GROUP BY 1, 2),
+met AS (SELECT lat, lon, place, deepest, place = deepest OR starts_with(deepest, place || '/') AS ok FROM cells JOIN deep USING (lat, lon))
+SELECT lat::BIGINT AS lat, lon::BIGINT AS lon, CASE WHEN bool_and(ok) THEN any_value(deepest) END AS place, CASE WHEN NOT bool_and(ok) THEN string_agg(place, '; ' ORDER BY place) FILTER (NOT ok OR place = deepest) END AS conflict FROM met GROUP BY 1, 2""")
+def place_chains(spark: SparkSession, base: str) -> DataFrame:
+    """One place for each tenth of a degree, where its cached places lie on one path; else the conflict."""
+    rows = places(spark, base).select(F.floor(F.col("latitude") * 10).alias("lat"), F.floor(F.col("longitude") * 10).alias("lon"), "place")
+    return resolve_chains(rows, ["lat", "lon"], "place")
+
+
+@query(f"WITH {_PLACES} SELECT DISTINCT place, CASE WHEN len(l) > 1 THEN l[-2] || ' · ' || l[-1] ELSE l[-1] END AS label FROM (SELECT place, list_filter(string_split(place, '/'), lambda x: x <> 'places') AS l FROM plc)")
+def place_labels(spark: SparkSession, base: str) -> DataFrame:
+    return places(spark, base).select("place", display_label(F.col("place")).alias("label")).distinct()
+
+
+@query(f"""WITH {_REVISIONS}, {_PRESENT}, n AS (SELECT asset_revision_id, count(*) AS people FROM present GROUP BY 1) SELECT r.id, r.media_type, coalesce(n.people, 0) AS people, v.total FROM revs r LEFT JOIN n ON n.asset_revision_id = r.id LEFT JOIN (SELECT count(*) AS total FROM present) v ON true""")
+def photo_details(spark: SparkSession, base: str) -> DataFrame:
+    """Every revision with its number of people, kept where there are none, beside a total that joins on nothing."""
+    now = present(spark, base)
+    counts = now.groupBy(F.col("asset_revision_id").alias("id")).agg(F.count(F.lit(1)).alias("people"))
+    total = now.agg(F.count(F.lit(1)).alias("total"))
+    # The right side is a single row.
+    return revisions(spark, base).select("id", "media_type").join(counts, "id", "left").join(F.broadcast(total), F.lit(True), "left").select("id", "media_type", F.coalesce("people", F.lit(0)).alias("people"), "total")
+
+
+@query(f"""WITH {_ACTIONS} SELECT asset_revision_id, person_id FROM acts a WHERE action_kind = 'add' AND person_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM acts b WHERE b.asset_revision_id = a.asset_revision_id AND b.action_kind = 'remove') GROUP BY ALL""")
+def labels_without_review(spark: SparkSession, base: str) -> DataFrame:
+    """People of the photos in which nobody was ever removed: older evidence counts only where there is no review at all."""
+    rows = actions(spark, base)
+    reviewed = rows.filter("action_kind = 'remove'").select("asset_revision_id").distinct()
+    return rows.filter("action_kind = 'add' and person_id is not null").select("asset_revision_id", "person_id").distinct().join(reviewed, "asset_revision_id", "left_anti")
+
+
+@query("SELECT lower(provider) AS grp, count(*) AS answers, count(*) FILTER (country_code IS NULL) AS uncoded, CASE WHEN count(*) = 0 THEN 1 ELSE round(count(*) FILTER (provider_result_id IS NOT NULL) / count(*)::DOUBLE, 6) END AS recall FROM (SELECT DISTINCT * FROM photo_place_reverse_geocode_cache) GROUP BY 1")
+def metrics_by_group(spark: SparkSession, base: str) -> DataFrame:
+    """Answers of each provider, whatever its case, and the part with a result id (1 where there are none)."""
+    rows = t(spark, base, "photo_place_reverse_geocode_cache").distinct()
+    return rows.groupBy(F.lower("provider").alias("grp")).agg(F.count(F.lit(1)).alias("answers"), F.count_if(F.col("country_code").isNull()).alias("uncoded"), F.round(ratio(F.count_if(F.col("provider_result_id").isNotNull()), F.count(F.lit(1)), 1.0), 6).alias("recall"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -16,6 +16,7 @@ from darkroom.operators.geometry import match_kinds, padded_crop, reconcile, sup
 from darkroom.operators.latest import active_reviews, latest_by, latest_by_id
 from darkroom.operators.matching import best_people, confidence
 from darkroom.operators.mutations import delete_stale, insert_if_absent, remap, selection_token, snapshot_diff, upsert, with_new_ids
+from darkroom.operators.places import display_label, place_of_answer, resolve_chains
 from darkroom.sources.files import read_bundles, read_evaluation, read_manifest, scan_folder
 from darkroom.streaming.latest import keep_latest, read_latest
 
@@ -174,6 +175,16 @@ def test_paths(spark):
     assert spark.createDataFrame([("Sweden / Stockholm",), ("PLACES/Sweden",)], "p string").select(canonical_place(F.col("p"))).collect() == [("places/sweden/stockholm",), ("places/sweden",)]
 
 
+def test_places(spark):
+    a = json.dumps({"geonames": [{"countryName": "Sweden", "adminName1": "Stockholm", "adminName2": " ", "name": "STOCKHOLM"}]})
+    df = spark.createDataFrame([(a,), ("{}",), ("no json",), (None,), (json.dumps({"geonames": []}),)], "a string")
+    assert [r[0] for r in df.select(place_of_answer(F.col("a"))).collect()] == ["Sweden/Stockholm", None, None, None, None]
+    many = spark.createDataFrame([(1, "a"), (1, "a/b/c"), (1, "a/b"), (2, "a/b"), (2, "a/c"), (3, "ab"), (3, "a"), (None, "x"), (4, None)], "k int, p string")
+    assert {r["k"]: (r["place"], r["conflict"]) for r in resolve_chains(many, ["k"], "p").collect()} == {1: ("a/b/c", None), 2: (None, "a/b; a/c"), 3: (None, "a; ab"), None: ("x", None)}
+    labels = spark.createDataFrame([("places/x/y",), ("x",), (None,)], "p string").select(display_label(F.col("p"))).collect()
+    assert [r[0] for r in labels] == ["x · y", "x", None]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "x").mkdir()
     for name in ("a.JPG", "b.txt", "x/c.heic", "noext"):
