@@ -58,6 +58,7 @@ ERROR_PAGE = [
     "the * you were looking for has been moved or removed", "the * you requested could not be located on this server", "request timed out", "gateway did not respond within 0 s", "unhandled exception rendering", "at viewer loadasync string key", "at host run", "traceback most recent call last", "file viewer py line 0 in render", "keyerror caption",
     "we re down for scheduled maintenance and will be back shortly", "too many requests", "slow down and retry in 0 seconds", "access denied", "your session has expired sign in again to continue", "sign in and repeat the request", "error establishing a database connection", "internal server error",
     "0 bad gateway", "0 bad request", "0 unauthorized", "0 forbidden", "0 not found", "0 too many requests", "0 internal server error", "0 service unavailable", "0 gateway timeout", "0 request timeout", "0 gone", "http error 0", "error 0", "status 0", "bad gateway", "gateway timeout", "service unavailable", "page not found", "forbidden",
+    *[f"0 {status} no such" for status in ("bad request", "unauthorized", "forbidden", "not found", "gone", "request timeout", "too many requests", "internal server error", "bad gateway", "service unavailable", "gateway timeout")],
     "the review service is temporarily unavailable", "please try again later", "check the address and retry", "contact the administrator if this persists", "go back to the start page", "retry in 0 seconds",
     "sidan kunde inte hittas fel 0", "diese seite wurde nicht gefunden", "la página solicitada no existe o fue eliminada", "erreur 0 le service est momentanément indisponible", "ページが見つかりません 0",
 ]
@@ -168,7 +169,7 @@ class Exemplars:
                 self.total.append(sum(weights.values()))
                 self.residue.append(residue)
                 self.words.append(sum(w != "*" for w in words))
-                self.marks.append(MARK in words)
+                self.marks.append(MARK in words or QUOTED in words)
                 pairs = {f: weight for f, weight in weights.items() if " " in f}
                 self.unigrams.append({f: weight for f, weight in weights.items() if " " not in f})
                 # A pair of words is far rarer than a word, so pairs retrieve and words only score.
@@ -183,15 +184,18 @@ class Exemplars:
             filler = [w for w in words if w in FILLER]
             if len(filler) >= FILLER_AT * len(words) and (len({*filler} - PLAIN) >= 1 or len({*filler}) <= len(filler) / 3):
                 return True
-        best, described = self.held(words, strong or weak)
-        if strong and not described:
+        best, described, quoting, _ = self.held(words, strong or weak)
+        # What describes a marker has one itself; other describing sentences of a passage don't excuse it.
+        if strong and not quoting:
             return True
-        if weak and not described and len(words) > BEFORE + AFTER + 1:
-            best = max(self.held(words[max(0, i - BEFORE) : i + AFTER + 1], True)[0] for i, w in enumerate(words) if w == MARK)
+        if weak and not quoting and len(words) > BEFORE + AFTER + 1:
+            near = max(self.held(words[max(0, i - BEFORE) : i + AFTER + 1], True)[3] for i, w in enumerate(words) if w == MARK)
+            if near:
+                return True
         return best > described
 
-    def held(self, words: list[str], mark: bool) -> tuple[float, float]:
-        """The weight of the residue exemplar, and of the describing one, of which the words hold most; 0 where too little is held."""
+    def held(self, words: list[str], mark: bool) -> tuple[float, float, float, float]:
+        """The weights of the residue exemplar and of the describing one of which the words hold most, then of the describing and the residue one with a marker; 0 where too little is held."""
         index = self.index
         held: dict[int, float] = {}
         for f in set(map(" ".join, zip(words, words[1:]))):
@@ -201,23 +205,27 @@ class Exemplars:
         if len(words) <= SHORT:
             held.update(self.single[w] for w in words if w in self.single)
         if not held:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0, 0.0
         own = set(words)
         for number in held:
             if self.words[number] > 1:
                 held[number] += sum(weight for w, weight in self.unigrams[number].items() if w in own)
-        best = described = 0.0
+        best = described = quoting = near = 0.0
         for number, weight in held.items():
             part = weight / self.total[number]
             n = self.words[number]
             if not self.residue[number]:
                 if part >= DESCRIBED_AT:
                     described = max(described, weight)
+                    if self.marks[number]:
+                        quoting = max(quoting, weight)
             elif weight > best and part >= (0.999 if n <= SHORT else RESIDUE_AT):
                 # Short exemplars must be most of their passage; a longer one may stand in a longer sentence.
                 if len(words) <= (n + 2 if n <= SHORT and not self.marks[number] else 2 * n + 12) and (mark or not self.marks[number]):
                     best = weight
-        return best, described
+                    if self.marks[number]:
+                        near = weight
+        return best, described, quoting, near
 
 
 def exemplar_words(text: str) -> list[str]:
