@@ -13,6 +13,10 @@ merge by adding.
    first pass has left. Summaries never meet in one place.
 3. Hooking and shortcutting joins merges of different cells, and leaves that
    share a face.
+4. The leaves' features add up to those of the clusters, and every vector is
+   held against the clusters whose centroid enters its cell. A mean cosine of at
+   least the threshold proves a link here too, whatever leaf the vector is in.
+5. A cluster's typical faces are those whose vectors are nearest to its centroid.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions.guid import guid
@@ -121,7 +125,7 @@ def ward(sums: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def leaves_of(embeddings: DataFrame, staging: Staging, seed: int) -> tuple[DataFrame, Pivots]:
-    """Rows (revision, id, face_crop_id, cell, leaf, n, v): one a vector; n and v (the packed sum) on the first of each leaf."""
+    """Rows (revision, id, face_crop_id, cell, leaf, n, length, v, x): one a vector, packed in x; n, length and v (the packed sum) on the first of each leaf."""
     spark = embeddings.sparkSession
     vectors = valid_vectors(embeddings, "face_crop_id")
     pivots = Pivots.sample(vectors, PER_CELL, seed)
@@ -146,10 +150,10 @@ def leaves_of(embeddings: DataFrame, staging: Staging, seed: int) -> tuple[DataF
         for i, blob in zip(first, blobs):
             v[i] = blob
         base = shared.value.number(key[:3]) << 52 | int(key[3]) << 24
-        return pd.DataFrame({"model_id": key[0], "model_hash": key[1], "dimensions": key[2], "id": rows["id"].to_numpy(), "face_crop_id": rows["face_crop_id"].to_numpy(), "cell": key[3], "leaf": base + leaf, "n": pd.array(n, dtype="Int64"), "length": length, "v": v})
+        return pd.DataFrame({"model_id": key[0], "model_hash": key[1], "dimensions": key[2], "id": rows["id"].to_numpy(), "face_crop_id": rows["face_crop_id"].to_numpy(), "cell": key[3], "leaf": base + leaf, "n": pd.array(n, dtype="Int64"), "length": length, "v": v, "x": rows["v"].to_numpy()})
 
     routed = vectors.mapInPandas(route, f"{_KEYS}, id long, face_crop_id string, cell long, v binary")
-    built = routed.groupBy(*_REVISION, "cell").applyInPandas(build, f"{_KEYS}, id long, face_crop_id string, cell long, leaf long, n long, length double, v binary")
+    built = routed.groupBy(*_REVISION, "cell").applyInPandas(build, f"{_KEYS}, id long, face_crop_id string, cell long, leaf long, n long, length double, v binary, x binary")
     return staging.save(built), pivots
 
 
@@ -174,18 +178,82 @@ def merge_leaves(leaves: DataFrame, threshold: float, pivots: Pivots) -> DataFra
     return routed.select(*_REVISION, "leaf", "n", "length", "v", F.explode("cells").alias("cell")).groupBy(*_REVISION, "cell").applyInPandas(merge, "a long, b long")
 
 
-def similarity_clusters(embeddings: DataFrame, crops: DataFrame, threshold: float, least: int, staging: Staging, seed: int = 11) -> DataFrame:
-    """(model_id, model_hash, cluster_face_id, face_occurrence_id, id, cell, leaf) of the vectors of clusters of ``least`` faces or more.
+def cluster_features(leaves: DataFrame) -> DataFrame:
+    """(revision, label, n, length, v): the features of leaves (revision, label, n, length, v), added up by label.
 
-    Two faces of a revision belong together if features of their vectors have a
-    mean cosine of ``threshold`` at least, directly or through others, or if one
-    face has vectors in both. A cluster is named by its smallest face. Vectors
-    that aren't valid, ids delivered twice, and vectors without a crop or a crop
-    without a face don't count; exact copies are spread over the cells of their
-    pivots' copies. Empty tables give an empty result.
+    Batches are added up before the shuffle, so a label of very many leaves moves few rows.
+    """
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, rows in by_revision(frame):
+                label, at = np.unique(rows["label"].to_numpy(), return_inverse=True)
+                sums = np.zeros((len(label), key[2]))
+                np.add.at(sums, at, unpack(list(rows["v"])) * rows["length"].to_numpy()[:, None])
+                n = np.zeros(len(label), dtype=np.int64)
+                np.add.at(n, at, rows["n"].to_numpy(np.int64))
+                yield pd.DataFrame({"model_id": key[0], "model_hash": key[1], "dimensions": key[2], "label": label, "n": n, "length": np.linalg.norm(sums, axis=1), "v": pack(sums)})
+
+    def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted, so only the last label of a batch may go on in the next one.
+        last = None
+        for frame in frames:
+            if len(frame):
+                added = pd.concat(add(iter([frame if last is None else pd.concat([last, frame])])), ignore_index=True)
+                yield added[:-1]
+                last = added[-1:]
+        if last is not None:
+            yield last
+
+    schema = f"{_KEYS}, label long, n long, length double, v binary"
+    parts = leaves.select(*_REVISION, "label", "n", "length", "v").mapInPandas(add, schema)
+    return parts.repartition(*_REVISION, "label").sortWithinPartitions(*_REVISION, "label").mapInPandas(total, schema)
+
+
+def assign(leaves: DataFrame, features: DataFrame, threshold: float, pivots: Pivots) -> DataFrame:
+    """Links (leaf, label) of every vector of ``leaves`` with the clusters (revision, label, n, length, v) that it is near to on average.
+
+    A cluster enters the cells of the CELLS pivots nearest to its centroid, in
+    every copy of them, as vectors are spread over the copies.
     """
+    shared = leaves.sparkSession.sparkContext.broadcast(pivots)
+
+    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds: dict[tuple, tuple] = {}
+        for frame in frames:
+            for key, rows in by_revision(frame):
+                if key not in kinds:
+                    own, kind = np.unique(shared.value.by[key], axis=0, return_inverse=True)
+                    kinds[key] = Pivots({key: own}), np.split(np.argsort(kind.ravel(), kind="stable"), np.cumsum(np.bincount(kind.ravel()))[:-1])
+                own, copies = kinds[key]
+                yield rows.assign(cells=[np.concatenate([copies[k] for k in near]) for near in own.nearest(key, unpack(list(rows["v"])), CELLS)])
+
+    def meet(_: tuple, rows: pd.DataFrame, clusters: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        if len(rows) and len(clusters):
+            mean = unpack(list(clusters["v"])) * (clusters["length"] / clusters["n"]).to_numpy(np.float32)[:, None]
+            leaf, label = rows["leaf"].to_numpy(), clusters["label"].to_numpy()
+            for b in range(0, len(rows), 4096):
+                i, j = np.nonzero(unpack(list(rows["x"][b : b + 4096])) @ mean.T >= threshold)
+                out.append(np.unique(np.stack([leaf[b + i], label[j]], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"leaf": pairs[:, 0], "label": pairs[:, 1]})
+
+    routed = features.mapInPandas(route, f"{_KEYS}, label long, n long, length double, v binary, cells array<long>")
+    entered = routed.select(*_REVISION, "label", "n", "length", "v", F.explode("cells").alias("cell"))
+    vectors = leaves.select(*_REVISION, "cell", "leaf", "x")
+    return vectors.groupBy(*_REVISION, "cell").cogroup(entered.groupBy(*_REVISION, "cell")).applyInPandas(meet, "leaf long, label long")
+
+
+def with_label(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the label of ``key`` by ``labels`` (v, label); what has none there is its own label."""
+    named = lookup(rows.withColumn("k", F.col(key)).drop("label"), labels.withColumnRenamed("v", "k"), "k", "left")
+    return named.withColumn("label", F.coalesce("label", "k")).drop("k")
+
+
+def _clusters(embeddings: DataFrame, crops: DataFrame, threshold: float, least: int, staging: Staging, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The members that ``similarity_clusters`` gives, with label and size, and the leaves of all vectors."""
     leaves, pivots = leaves_of(embeddings, staging, seed)
-    spark = embeddings.sparkSession
     vectors = valid_vectors(embeddings)
     summaries = leaves.filter("n is not null")
     links = staging.save(merge_leaves(summaries, threshold, Pivots.sample(vectors, PER_CELL, seed + 1)).distinct())
@@ -197,8 +265,60 @@ def similarity_clusters(embeddings: DataFrame, crops: DataFrame, threshold: floa
     smallest = pairs.groupBy("model_id", "model_hash", "face_occurrence_id").agg(F.min("leaf").alias("a"), F.count(F.lit(1)).alias("leaves")).filter("leaves > 1").drop("leaves")
     shared = pairs.join(smallest, ["model_id", "model_hash", "face_occurrence_id"]).filter("leaf <> a").select("a", F.col("leaf").alias("b"))
     labels = components(links.unionByName(shared), staging)
-    labelled = lookup(members, labels.withColumnRenamed("v", "leaf"), "leaf", "left").withColumn("label", F.coalesce("label", "leaf"))
+    features = staging.save(cluster_features(with_label(summaries, labels, "leaf")))
+    # A single vector's neighbours are the merges' business.
+    found = assign(leaves, features.filter("n > 1"), threshold, pivots).withColumnRenamed("label", "b").distinct()
+    found = staging.save(with_label(found, labels, "leaf").select(F.col("label").alias("a"), "b").filter("a <> b").distinct())
+    labelled = with_label(members, labels, "leaf")
+    if found.limit(1).count():
+        labelled = with_label(labelled.withColumnRenamed("label", "first"), components(found, staging), "first").drop("first")
     labelled = staging.save(labelled)
     # A cluster's faces are counted from distinct pairs, combined before the shuffle.
     sizes = labelled.select("label", "face_occurrence_id").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("face_occurrence_id").alias("cluster_face_id")).filter(F.col("size") >= least)
-    return lookup(labelled, sizes, "label")
+    return lookup(labelled, sizes, "label"), leaves
+
+
+def similarity_clusters(embeddings: DataFrame, crops: DataFrame, threshold: float, least: int, staging: Staging, seed: int = 11) -> DataFrame:
+    """(model_id, model_hash, cluster_face_id, face_occurrence_id, id, cell, leaf) of the vectors of clusters of ``least`` faces or more.
+
+    Two faces of a revision belong together if features of their vectors have a
+    mean cosine of ``threshold`` at least, directly or through others, if a
+    vector of one has that mean cosine with the other's cluster, or if one
+    face has vectors in both. A cluster is named by its smallest face. Vectors
+    that aren't valid, ids delivered twice, and vectors without a crop or a crop
+    without a face don't count; exact copies are spread over the cells of their
+    pivots' copies. Empty tables give an empty result.
+    """
+    return _clusters(embeddings, crops, threshold, least, staging, seed)[0]
+
+
+def typical_faces(embeddings: DataFrame, crops: DataFrame, threshold: float, least: int, most: int, staging: Staging, seed: int = 11) -> DataFrame:
+    """(model_id, model_hash, cluster_face_id, size, typical_faces) of every cluster of ``similarity_clusters``.
+
+    size counts the faces; typical_faces are the ``most`` of them nearest to the
+    centroid, nearest first and ties by id, a face counting with its nearest
+    vector. The centroid is the mean of all unit vectors in the cluster's leaves.
+    """
+    members, leaves = _clusters(embeddings, crops, threshold, least, staging, seed)
+    members = staging.save(members)
+    # One face may join vectors of different dimensions, which have a centroid each.
+    part = F.concat_ws("-", "label", "dimensions").alias("part")
+    summaries = lookup(leaves.filter("n is not null").drop("x"), members.select("leaf", "label").distinct(), "leaf")
+    centroids = cluster_features(summaries).select(part, F.col("v").alias("c"))
+    named = members.select("id", "leaf", "label", "size", "cluster_face_id", "face_occurrence_id").distinct()
+    vectors = leaves.select(*_REVISION, "id", "leaf", "x").join(named, ["id", "leaf"])
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, rows in by_revision(frame):
+                near = (unpack(list(rows["x"])).astype(np.float64) * unpack(list(rows["c"]))).sum(axis=1)
+                yield rows[["model_id", "model_hash", "label", "size", "cluster_face_id", "face_occurrence_id"]].assign(near=near)
+
+    scored = lookup(vectors.select("*", part), centroids, "part").select(*_REVISION, "label", "size", "cluster_face_id", "face_occurrence_id", "x", "c")
+    scored = scored.mapInPandas(score, "model_id string, model_hash string, label long, size long, cluster_face_id string, face_occurrence_id string, near double")
+    cluster = ["model_id", "model_hash", "label", "size", "cluster_face_id"]
+    faces = scored.groupBy(*cluster, "face_occurrence_id").agg(F.max("near").alias("near"))
+    # The limit on the rank is applied before the shuffle as well, so a large cluster moves few rows.
+    ranked = faces.withColumn("rank", F.row_number().over(Window.partitionBy(*cluster).orderBy(F.desc("near"), "face_occurrence_id"))).filter(F.col("rank") <= most)
+    typical = F.transform(F.sort_array(F.collect_list(F.struct("rank", "face_occurrence_id"))), lambda r: r["face_occurrence_id"])
+    return ranked.groupBy(*cluster).agg(typical.alias("typical_faces")).select("model_id", "model_hash", "cluster_face_id", "size", "typical_faces")

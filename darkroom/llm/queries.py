@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions.guid import guid
 from darkroom.llm.bpe import count_tokens, encode_documents, tokenizer_path
-from darkroom.llm.clusters import similarity_clusters
+from darkroom.llm.clusters import similarity_clusters, typical_faces
 from darkroom.llm.neighbours import most_similar
 from darkroom.llm.packing import pack_documents
 from darkroom.llm.residue import residue_documents
@@ -54,6 +54,11 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return members.select("model_hash", "cluster_face_id", "face_occurrence_id").distinct()
 
 
+def p7_clusters(spark: SparkSession, base: str) -> DataFrame:
+    """Every cluster of p7_found with its size and the five faces nearest to its centroid, or all if it has fewer."""
+    return typical_faces(read_table(spark, base, "face_embeddings"), read_table(spark, base, "face_crops"), 0.65, 3, 5, Staging(spark, "p7c"))
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k."""
     return encode_documents(read_table(spark, base, "documents"), tokenizer_path("byte_bpe_50k"))
@@ -71,7 +76,7 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_similar": p2_similar, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p2_similar": p2_similar, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p7_found": p7_found, "p7_clusters": p7_clusters, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from darkroom.llm import neighbours
-from darkroom.llm.clusters import feature_leaves, similarity_clusters, ward
+from darkroom.llm.clusters import assign, feature_leaves, leaves_of, similarity_clusters, typical_faces, ward
 from darkroom.llm.neighbours import most_similar, search_cell
 
 E = "id long, face_crop_id string, model_id string, model_hash string, dimensions int, vector_blob binary, cell int, v string"
@@ -121,3 +121,52 @@ def test_features_add_up_and_ward_merges_the_close():
 
 def test_no_vectors_no_clusters(spark, staging):
     assert similarity_clusters(spark.createDataFrame([], E), spark.createDataFrame([], C), 0.65, 3, staging).count() == 0
+
+
+def test_every_cluster_with_its_size_and_the_faces_nearest_to_its_centroid(spark, staging):
+    rng = np.random.default_rng(9)
+    # Clusters of 3 to 60 faces, of which each tenth has a second vector; the rest is alone.
+    n = [3, 4, 5, 8, 20, 60]
+    x = np.concatenate([groups(rng, 1, k, 64, 0.4) for k in n] + [rng.standard_normal((200, 64))])
+    face = list(range(len(x)))
+    face[9::10] = face[8::10]
+    cluster = np.repeat(np.arange(len(n)), n)
+    crops = [(guid(i, 1), guid(f, 2), 1) for i, f in enumerate(face)]
+    out = typical_faces(spark.createDataFrame(rows_of(x) + rows_of(x)[:30] + odd_rows(), E), spark.createDataFrame(crops, C), 0.65, 3, 5, staging).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for c in range(len(n)):
+        own = np.nonzero(cluster == c)[0]
+        if len({face[i] for i in own}) < 3:
+            continue
+        near = u[own] @ u[own].mean(axis=0)
+        best = {}
+        for i, s in zip(own, near):
+            best[guid(face[i], 2)] = max(s, best.get(guid(face[i], 2), -1))
+        want[min(best)] = (len(best), sorted(best, key=lambda f: -best[f])[:5])
+    assert out.columns.tolist() == ["model_id", "model_hash", "cluster_face_id", "size", "typical_faces"]
+    assert {r.cluster_face_id: (r.size, list(r.typical_faces)) for r in out.itertuples(index=False)} == want
+
+
+def test_vectors_are_assigned_to_the_clusters_they_are_near_to(spark, staging):
+    from darkroom.llm.clusters import cluster_features
+
+    rng = np.random.default_rng(10)
+    x = np.concatenate([groups(rng, 12, 30, 64, 0.4), rng.standard_normal((300, 64))])
+    leaves, pivots = leaves_of(spark.createDataFrame(rows_of(x), E), staging, 11)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    # Features of half of each group only: the other half must find them by the pass.
+    own = leaves.select("id", "leaf").toPandas().set_index("id")["leaf"]
+    half = [(int(own[i]), "m", "h", 64, i // 30, 1, 1.0, pack_one(u[i])) for i in range(360) if i % 2]
+    features = cluster_features(spark.createDataFrame(half, "leaf long, model_id string, model_hash string, dimensions int, label long, n long, length double, v binary"))
+    assert {(r["label"], r["n"]) for r in features.collect()} == {(g, 15) for g in range(12)}
+    got = {tuple(r) for r in assign(leaves, features, 0.65, pivots).collect()}
+    mean = np.stack([u[g * 30 + 1 : g * 30 + 30 : 2].mean(axis=0) for g in range(12)])
+    want = {(int(own[i]), int(g)) for i, g in zip(*np.nonzero(u @ mean.T >= 0.65))}
+    assert got == want and {int(own[i]) for i in range(0, 360, 2)} & {leaf for leaf, _ in got}
+
+
+def pack_one(v):
+    from darkroom.llm.routing import pack
+
+    return pack(v[None, :])[0]
