@@ -4,10 +4,11 @@ Labelled exemplars of residue, and of sentences that only describe or quote it,
 are kept in an inverted index of their words and word pairs. Every passage of
 every document retrieves the exemplars that share a word with it; an exemplar's
 TF-IDF containment is the weighted part of its features that the passage holds,
-with document frequencies counted over the whole corpus. A passage is residue if
+or the best of overlapping windows where the passage is much longer than the
+exemplar, with document frequencies counted over the whole corpus. A passage is residue if
 a residue exemplar is contained well enough and no describing one holds more.
 For filler the containment is taken the other way: the part of the passage that
-the filler vocabulary holds.
+the filler vocabulary holds, or of windows of it.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from darkroom.llm.bpe import once
 
 #: Containment from which an exemplar of residue, and one of description, counts.
 RESIDUE_AT, DESCRIBED_AT = 0.72, 0.5
-#: Short exemplars, of up to SHORT words, must be contained whole.
-SHORT = 3
+#: Short exemplars, of up to SHORT words, must be contained whole; a single word of SENTENCE letters is a sentence without spaces.
+SHORT, SENTENCE = 3, 10
 #: Words before and after a marker that make its window where a passage is longer.
 BEFORE, AFTER = 6, 8
 #: Part of a passage's words, and the number of words, from which filler vocabulary makes it filler.
 FILLER_AT, FILLER_WORDS = 0.75, 3
+#: Words of a window that filler vocabulary can make filler within a longer passage.
+FILLER_WINDOW = 8
 #: Stands for a marker that was never filled in, and for one that the text itself quotes.
 MARK, QUOTED = "\ue000", "\ue001"
 
@@ -88,6 +91,12 @@ FILLER = set(
 #: Filler words that are ordinary words as well: alone they don't make filler unless they repeat.
 PLAIN = {"word", "text", "more", "later", "sit", "modi", "porta"}
 
+# Words that join a short exemplar to the sentence around it, which then uses it as ordinary words.
+JOINING = set(
+    """a an the this that these those my our your his her their of to in on at by for from with as is was are were be been being has have had will would may can must and or but if when while after before because so than then
+    it its he she they we you i said says saw showed returned called marked der die das den dem und ist war wird ein eine im mit von zu le la les un une et est était de des du dans que el los las una y es era en con por som och är var ett i på av med att""".split()
+)
+
 _NAME = r"[^\W\d_][\w .\-]{0,40}?"
 #: Markers of template languages, which prose has no use for.
 _STRONG = regex.compile(
@@ -151,6 +160,7 @@ class Exemplars:
         self.index: dict[str, list[tuple[int, float]]] = {}
         self.single: dict[str, tuple[int, float]] = {}
         self.unigrams: list[dict[str, float]] = []
+        self.pairs: list[dict[str, float]] = []
         self.residue: list[bool] = []
         self.words: list[int] = []
         self.marks: list[bool] = []
@@ -171,6 +181,7 @@ class Exemplars:
                 self.words.append(sum(w != "*" for w in words))
                 self.marks.append(MARK in words or QUOTED in words)
                 pairs = {f: weight for f, weight in weights.items() if " " in f}
+                self.pairs.append(pairs)
                 self.unigrams.append({f: weight for f, weight in weights.items() if " " not in f})
                 # A pair of words is far rarer than a word, so pairs retrieve and words only score.
                 for feature, weight in pairs.items():
@@ -180,9 +191,10 @@ class Exemplars:
 
     def is_residue(self, words: list[str], strong: bool, weak: bool) -> bool:
         """Whether a passage is residue by the exemplars that it contains."""
-        if len(words) >= FILLER_WORDS:
-            filler = [w for w in words if w in FILLER]
-            if len(filler) >= FILLER_AT * len(words) and (len({*filler} - PLAIN) >= 1 or len({*filler}) <= len(filler) / 3):
+        if filled(words):
+            return True
+        if len(words) > FILLER_WINDOW and sum(w in FILLER for w in words) >= FILLER_AT * FILLER_WINDOW:
+            if any(filled(words[i : i + FILLER_WINDOW]) for i in range(len(words) - FILLER_WINDOW + 1)):
                 return True
         best, described, quoting, _ = self.held(words, strong or weak)
         # What describes a marker has one itself; other describing sentences of a passage don't excuse it.
@@ -202,8 +214,8 @@ class Exemplars:
             if f in index:
                 for number, weight in index[f]:
                     held[number] = held.get(number, 0.0) + weight
-        if len(words) <= SHORT:
-            held.update(self.single[w] for w in words if w in self.single)
+        # A single word is a message where little else is there, or where it is a whole sentence written without spaces.
+        held.update(self.single[w] for w in words if w in self.single and (len(words) <= SHORT or len(w) >= SENTENCE))
         if not held:
             return 0.0, 0.0, 0.0, 0.0
         own = set(words)
@@ -220,13 +232,45 @@ class Exemplars:
                     if self.marks[number]:
                         quoting = max(quoting, weight)
             elif weight > best and part >= (0.999 if n <= SHORT else RESIDUE_AT):
-                # Short exemplars must be most of their passage; a longer one may stand in a longer sentence.
-                if len(words) <= (n + 2 if n <= SHORT and not self.marks[number] else 2 * n + 12) and (mark or not self.marks[number]):
+                # Short exemplars must be most of their window; a longer one may stand in a longer one.
+                if mark or not self.marks[number]:
+                    size = n + 2 if n <= SHORT and not self.marks[number] else 2 * n + 12
+                    if len(words) > size:
+                        # What a window holds is at most what the passage does.
+                        weight = self.window(number, words, size)
+                        if weight <= best or weight < (0.999 if n <= SHORT else RESIDUE_AT) * self.total[number]:
+                            continue
                     best = weight
                     if self.marks[number]:
                         near = weight
         return best, described, quoting, near
 
+    def window(self, number: int, words: list[str], size: int) -> float:
+        """The most weight of an exemplar's features that any window of ``size`` words of a passage holds."""
+        single, pairs = self.unigrams[number], self.pairs[number]
+        at = []
+        for i, w in enumerate(words):
+            if w in single:
+                at.append((i, i, w, single[w]))
+                if i and (pair := f"{words[i - 1]} {w}") in pairs:
+                    at.append((i - 1, i, pair, pairs[pair]))
+        best = 0.0
+        short = self.words[number] <= SHORT and not self.marks[number]
+        # A window that holds the most may as well start where a feature does.
+        for start in {first for first, _, _, _ in at}:
+            held = [x for x in at if x[0] >= start and x[1] < start + size]
+            end = max(last for _, last, _, _ in held) + 1
+            if short and (start and words[start - 1] in JOINING or end < len(words) and words[end] in JOINING):
+                continue
+            best = max(best, sum({f: weight for _, _, f, weight in held}.values()))
+        return best
+
+
+def filled(words: list[str]) -> bool:
+    """Whether filler vocabulary holds most of the words."""
+    filler = [w for w in words if w in FILLER]
+    return len(words) >= FILLER_WORDS and len(filler) >= FILLER_AT * len(words) and (len({*filler} - PLAIN) >= 1 or len({*filler}) <= len(filler) / 3)
+
 
 def exemplar_words(text: str) -> list[str]:
     return ["*" if w == "*" else MARK if w == "MARK" else QUOTED if w == "QUOTED" else w for w in text.split()]

@@ -6,7 +6,7 @@ import pytest
 
 from darkroom.llm.bpe import Encoder, count_tokens, encode_documents, tokenizer_path
 from darkroom.llm.packing import evolve, pack_documents, packed
-from darkroom.llm.residue import residue_documents
+from darkroom.llm.residue import Exemplars, passages, residue_documents
 
 DOCS = "doc_id long, text string, ids string, n int"
 PATH = tokenizer_path("byte_bpe_50k")
@@ -102,3 +102,20 @@ def test_residue(spark):
 
 def test_no_documents_no_residue(spark):
     assert residue_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+MENU = "home albums people places map timeline settings help about contact imprint privacy terms search login register favourites share export print"
+FLATTENED = [
+    "404 page not found Rovdal archive viewer home", "please enable javascript to view this album", "internal server error", "description to be written", "the requested album does not exist", "sample paragraph sample paragraph",
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor", "your browser does not support javascript so this content cannot be shown", "ここに説明文が入ります",
+]
+
+
+def test_exemplars_in_windows_of_long_passages():
+    own = Exemplars({}, 1000)
+    for text in FLATTENED:
+        assert any(own.is_residue(*p) for p in passages(text))
+        assert any(own.is_residue(*p) for p in passages(f"{MENU} {text} {MENU}")), text
+    for text in [MENU, "She wrote that the next part of the album is coming soon and we believed it", "Nobody had told us that photography was forbidden in the chapel on that day", "The letter to the aunt who kept the box has to be written by Monday",
+                 "The old link returned 404 not found after the folder rename, so the catalogue now keeps a redirect and nobody has complained since then"]:
+        assert not any(own.is_residue(*p) for p in passages(text)), text
