@@ -8,7 +8,8 @@ or the best of overlapping windows where the passage is much longer than the
 exemplar, with document frequencies counted over the whole corpus. A passage is residue if
 a residue exemplar is contained well enough and no describing one holds more.
 For filler the containment is taken the other way: the part of the passage that
-the filler vocabulary holds, or of windows of it.
+the filler vocabulary holds, or of windows of it. A marker of a template
+language is an exemplar of its own. Both must outweigh what describes them.
 """
 
 from __future__ import annotations
@@ -80,6 +81,8 @@ DESCRIBED = [
     "a margin of MARK never wins and the order of equal scores was MARK in the old code", "on this disk the originals are cloud placeholders and the word placeholder here simply means a file that has not been hydrated", "somebody left lorem ipsum in the mock up of the help page which we replaced with a real explanation in the same commit",
     "fixed an internal server error occurred when a crop had zero width", "during the restart the viewer answered with 0 for 0 seconds and recovered on its own as the log confirms", "todo rescan strip 0 rename the folder and ask for the names on the back", "the word dolor on the old gravestone in picture 0 means pain", "to print the list use for var i 0",
     "sample 0 of the recall pilot has 0 countable faces and two more that are only outlines", "error rates fell from 0 0 to 0 0",
+    "a marker such as MARK stands for", "a placeholder such as MARK is replaced with the", "the placeholder MARK is replaced by the", "the variable MARK is expanded to the", "the field MARK is filled in when the", "the literal text MARK appears in the", "in the template the token MARK means the",
+    "the words lorem ipsum dolor are filler text that stands for real text",
     "the documentation says", "the manual explains", "for example write", "the test checks that", "is shown when", "the template language uses",
 ]
 # The vocabulary of filler.
@@ -165,7 +168,7 @@ class Exemplars:
         self.words: list[int] = []
         self.marks: list[bool] = []
         self.total: list[float] = []
-        for residue, texts in ((True, UNFILLED + TEMPLATE_TEXT + ERROR_PAGE + SCRIPTS_NEEDED), (False, DESCRIBED)):
+        for residue, texts in ((True, ["MARK"] + UNFILLED + TEMPLATE_TEXT + ERROR_PAGE + SCRIPTS_NEEDED), (False, DESCRIBED)):
             for text in dict.fromkeys(texts):
                 words = exemplar_words(text)
                 weights: dict[str, float] = {}
@@ -191,14 +194,11 @@ class Exemplars:
 
     def is_residue(self, words: list[str], strong: bool, weak: bool) -> bool:
         """Whether a passage is residue by the exemplars that it contains."""
-        if filled(words):
-            return True
-        if len(words) > FILLER_WINDOW and sum(w in FILLER for w in words) >= FILLER_AT * FILLER_WINDOW:
-            if any(filled(words[i : i + FILLER_WINDOW]) for i in range(len(words) - FILLER_WINDOW + 1)):
-                return True
         best, described, quoting, _ = self.held(words, strong or weak)
+        if self.filler(words) > described:
+            return True
         # What describes a marker has one itself; other describing sentences of a passage don't excuse it.
-        if strong and not quoting:
+        if strong and self.total[self.single[MARK][0]] > quoting:
             return True
         if weak and not quoting and len(words) > BEFORE + AFTER + 1:
             near = max(self.held(words[max(0, i - BEFORE) : i + AFTER + 1], True)[3] for i, w in enumerate(words) if w == MARK)
@@ -206,6 +206,16 @@ class Exemplars:
                 return True
         return best > described
 
+    def filler(self, words: list[str]) -> float:
+        """The weight of the filler words of a passage that they fill, or of its window with the most; 0 where they fill none."""
+        if filled(words):
+            spans = [words]
+        elif len(words) > FILLER_WINDOW and sum(w in FILLER for w in words) >= FILLER_AT * FILLER_WINDOW:
+            spans = [own for i in range(len(words) - FILLER_WINDOW + 1) if filled(own := words[i : i + FILLER_WINDOW])]
+        else:
+            return 0.0
+        return max((sum(map(self.idf, FILLER.intersection(span))) for span in spans), default=0.0)
+
     def held(self, words: list[str], mark: bool) -> tuple[float, float, float, float]:
         """The weights of the residue exemplar and of the describing one of which the words hold most, then of the describing and the residue one with a marker; 0 where too little is held."""
         index = self.index
@@ -215,7 +225,7 @@ class Exemplars:
                 for number, weight in index[f]:
                     held[number] = held.get(number, 0.0) + weight
         # A single word is a message where little else is there, or where it is a whole sentence written without spaces.
-        held.update(self.single[w] for w in words if w in self.single and (len(words) <= SHORT or len(w) >= SENTENCE))
+        held.update(self.single[w] for w in words if w in self.single and w != MARK and (len(words) <= SHORT or len(w) >= SENTENCE))
         if not held:
             return 0.0, 0.0, 0.0, 0.0
         own = set(words)
@@ -280,7 +290,7 @@ def exemplar_words(text: str) -> list[str]:
 def vocabulary_words() -> list[str]:
     """The words of all exemplars, bounded by the exemplars alone."""
     texts = UNFILLED + TEMPLATE_TEXT + ERROR_PAGE + SCRIPTS_NEEDED + DESCRIBED
-    return sorted({w for t in texts for w in t.split() if w.isalpha() and w not in ("MARK", "QUOTED")})
+    return sorted({w for t in texts for w in t.split() if w.isalpha() and w not in ("MARK", "QUOTED")} | FILLER)
 
 
 def document_frequency(documents: DataFrame, text: str = "text") -> tuple[dict[str, int], int]:

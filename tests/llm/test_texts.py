@@ -119,3 +119,11 @@ def test_exemplars_in_windows_of_long_passages():
     for text in [MENU, "She wrote that the next part of the album is coming soon and we believed it", "Nobody had told us that photography was forbidden in the chapel on that day", "The letter to the aunt who kept the box has to be written by Monday",
                  "The old link returned 404 not found after the folder rename, so the catalogue now keeps a redirect and nobody has complained since then"]:
         assert not any(own.is_residue(*p) for p in passages(text)), text
+
+
+def test_markers_and_filler_must_outweigh_what_describes_them():
+    own = Exemplars({}, 1000)
+    for text in ["In our letters the placeholder {{ owner }} is replaced by the name of the album's owner.", "A field such as ${title} stands for the album's title.", "The variable %HOME% is expanded to the folder of the account.", "The words lorem ipsum dolor are filler."]:
+        assert not any(own.is_residue(*p) for p in passages(text)), text
+    for text in ["Dear {{ owner }}, your placeholder album is ready.", "Kept in ${title} by the owner.", "%HOME% is where we met.", "The words. Lorem ipsum dolor sit amet elit.", "{{ a }}"]:
+        assert any(own.is_residue(*p) for p in passages(text)), text
