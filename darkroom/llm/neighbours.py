@@ -1,125 +1,184 @@
-"""The k most similar vectors of every vector.
-
-Vectors are routed to the cells of their nearest pivots, then every cell runs
-collision-counting hashing: each of PROJECTIONS random directions gives a sorted
-array, every query opens a window around its own projection in each array, and
-the rows that lie in the windows of at least COLLISIONS arrays are verified by
-their true cosine. Queries without k verified rows within the window's radius
-widen their windows (virtual rehashing) and go on; the last round also verifies
-the rows with the most collisions.
-
-A collision count over one index of all rows would touch a fixed part of all
-rows for every query, as a single projection separates near from far by no more
-than the ratio of their distances. The cells bound that work, so the whole grows
-as the rows do. Rows outside a query's cells are the loss.
+"""The k most similar vectors of every vector, by collision-counting hashing.
+
+Unit rows are projected onto PROJECTIONS random directions, each of which gives
+a sorted array. A query opens a window around its own projection in every array,
+and a row collides once for each window that it lies in. Only rows that collide
+often enough are verified by their cosine; for a radius the number that is
+enough follows from the chance with which a row at that distance lies in a
+window, so that MISS of such rows at most are left out. Queries without k
+verified rows within the radius widen their windows (virtual rehashing).
+
+``most_similar`` answers every vector. Counting collisions of all with all rows
+would grow as the square of the rows, as a single projection separates near from
+far by no more than the ratio of their distances; so vectors are first routed to
+the cells of their nearest pivots, and collisions are counted within cells. Rows
+outside a query's cells are the loss. ``search`` answers a stated set of queries
+against the sorted arrays of all rows, in blocks, and loses none to cells.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions.vectors import decode, unit_rows
-from darkroom.llm.routing import Pivots, by_revision, pack, unpack, valid_vectors
-
-#: Vectors to a pivot, and the cells that a vector enters.
-PER_CELL, CELLS = 200, 5
-#: Sorted arrays of a cell.
-PROJECTIONS = 16
-#: Rounds of virtual rehashing: half width of the windows in units of a projection of a unit vector, and the collisions that ask for verification.
-ROUNDS = ((0.5, 9), (1.0, 14))
-#: Rows verified beyond k in the last round, those with the most collisions.
-SPARE = 27
-#: Queries that a cell handles at a time; memory is bounded by QUERIES x rows of the cell.
+from darkroom.llm.routing import MOST_PIVOTS, Pivots, by_revision, fine, split_cells, unfine, valid_vectors
+from darkroom.operators.skew import lookup
+
+#: Vectors to a pivot, and the cells that a vector enters if only near rows are asked for, or all.
+PER_CELL, NEAR_CELLS, CELLS = 200, 4, 5
+#: Sorted arrays of a cell, and of a block that is searched.
+PROJECTIONS, SEARCH_PROJECTIONS = 16, 32
+#: Half width of a window in radii, and the part of the rows at the radius that may collide too seldom.
+SPREAD, MISS = 1.4, 0.005
+#: Radii of the rounds where no least cosine is given; at 2 every row is within the radius. A search takes finer steps, as its windows hold more rows.
+RADII = (0.32, 0.84, 1.17, 2.0)
+SEARCH_RADII = (0.32, 0.84, 1.0, 1.1, 1.17, 1.22, 1.28, 2.0)
+#: Part of a batch's pairs that collide from which they are verified together.
+DENSE = 0.15
+#: Queries that are counted at a time; memory is bounded by QUERIES x rows of the cell.
 QUERIES = 96
-#: Copies of one blob are kept out of the cells beyond the first k + 1 where there are more than this part of all rows.
-HOT_COPIES = 1 / 2_000
+#: Rows of a block and queries of a chunk that a search brings together.
+BLOCK, CHUNK = 16_384, 16_384
 
 _REVISION = ["model_id", "model_hash", "dimensions"]
+_KEYS = "model_id string, model_hash string, dimensions int"
+
+
+@lru_cache(maxsize=256)
+def enough(arrays: int, miss: float = MISS) -> int:
+    """The most collisions that a row at the radius reaches with a chance of 1 - ``miss``."""
+    p = math.erf(SPREAD / math.sqrt(2))
+    below = 0.0
+    for n in range(arrays + 1):
+        below += math.comb(arrays, n) * p**n * (1 - p) ** (arrays - n)
+        if below > miss:
+            return max(n, 1)
+    return arrays
+
+
+class SortedArrays:
+    """Unit rows in the order of each of several projections."""
+
+    def __init__(self, x: np.ndarray, directions: np.ndarray):
+        self.rows, self.directions = len(x), directions
+        projected = x @ directions
+        order = np.argsort(projected, axis=0)
+        self.values = np.take_along_axis(projected, order, axis=0).T.copy()
+        self.kind = np.uint16 if len(x) < 65_000 else np.uint32
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(len(x))[:, None], axis=0)
+        self.place = np.ascontiguousarray(place.T.astype(self.kind))
+
+    def collisions(self, q: np.ndarray, half: float) -> np.ndarray:
+        """How many windows of each query hold each row (queries x rows)."""
+        p = q @ self.directions
+        count = np.zeros((len(q), self.rows), dtype=np.uint8)
+        offset, inside = np.empty(count.shape, dtype=self.kind), np.empty(count.shape, dtype=bool)
+        for m, values in enumerate(self.values):
+            start = np.searchsorted(values, p[:, m] - half, "left").astype(self.kind)
+            width = np.searchsorted(values, p[:, m] + half, "right").astype(self.kind) - start
+            # A row's place minus the window's start, unsigned: one comparison tests both ends.
+            np.subtract(self.place[m], start[:, None], out=offset)
+            np.less(offset, width[:, None], out=inside)
+            np.add(count, inside.view(np.uint8), out=count)
+        return count
 
 
-def search_cell(x: np.ndarray, k: int, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, cosine) of up to ``k`` most similar other rows of each unit row of a cell."""
-    n = len(x)
-    if n < 2:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
-    kind = np.uint16 if n < 65_000 else np.uint32
-    projected = x @ directions
-    order = np.argsort(projected, axis=0)
-    arrays = np.take_along_axis(projected, order, axis=0).T.copy()
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    rank = np.ascontiguousarray(rank.T.astype(kind))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    waiting = np.arange(n)
-    for step, (half, enough) in enumerate(ROUNDS):
-        last = step == len(ROUNDS) - 1
-        starts = np.stack([np.searchsorted(a, p - half, "left") for a, p in zip(arrays, projected.T)]).astype(kind)
-        widths = np.stack([np.searchsorted(a, p + half, "right") for a, p in zip(arrays, projected.T)]).astype(kind) - starts
-        still = []
+def search_rows(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, directions: np.ndarray, radii: tuple[float, ...], least: float = -2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, row, cosine) of up to ``k`` most similar rows of ``x`` for each query, and the number of rows verified.
+
+    ``x`` and ``q`` are unit rows (float64); ``own`` is the row that a query
+    itself is, or -1. Ties go to the smaller row.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    if not len(q) or len(x) - (own >= 0).max(initial=0) < 1:
+        return none, none, np.zeros(0), 0
+    small, qs = x.astype(np.float32), q.astype(np.float32)
+    arrays = SortedArrays(small, directions)
+    need = enough(directions.shape[1])
+    found, verified, waiting = [], 0, np.arange(len(q))
+    for radius in radii:
+        last, still = radius == radii[-1], []
         for b in range(0, len(waiting), QUERIES):
-            q = waiting[b : b + QUERIES]
-            count = np.zeros((len(q), n), dtype=np.uint8)
-            offset, inside = np.empty((len(q), n), dtype=kind), np.empty((len(q), n), dtype=bool)
-            for m in range(len(arrays)):
-                # A row's place minus the window's start, unsigned: one comparison tests both ends.
-                np.subtract(rank[m], starts[m][q][:, None], out=offset)
-                np.less(offset, widths[m][q][:, None], out=inside)
-                np.add(count, inside.view(np.uint8), out=count)
-            count[np.arange(len(q)), q] = 0
-            need = np.full(len(q), enough, dtype=np.uint8)
-            if last:
-                # Each query verifies the rows with the most collisions, k + SPARE of them at least.
-                short = np.arange(len(q))
-                while len(short) and need[short[0]] > 1:
-                    short = short[(count[short] >= need[short[0]]).sum(axis=1) < min(k + SPARE, n - 1)]
-                    need[short] -= 1
-            cos = x[q] @ x.T
-            cos[count < need[:, None]] = -2
+            part = waiting[b : b + QUERIES]
+            count = arrays.collisions(qs[part], SPREAD * radius)
+            mine = np.nonzero(own[part] >= 0)[0]
+            count[mine, own[part][mine]] = 0
+            i, j = np.nonzero(count >= need)
+            verified += len(i)
+            if len(i) > DENSE * count.size:
+                # Where a large part collides, one matrix product costs less than its cosines one by one.
+                cos = (qs[part] @ small.T)[i, j]
+            else:
+                cos = np.empty(len(i), dtype=np.float32)
+                for c in range(0, len(i), 1 << 16):
+                    s = slice(c, c + (1 << 16))
+                    cos[s] = np.einsum("ij,ij->i", qs[part[i[s]]], small[j[s]])
             if not last:
-                # A query is done if k rows lie within the radius of this round's windows.
-                done = (cos >= 1 - half * half / 2).sum(axis=1) >= k
-                still.append(q[~done])
-                q, cos = q[done], cos[done]
-            row = np.arange(len(q))
-            for _ in range(min(k, n - 1)):
-                best = cos.argmax(axis=1)
-                value = cos[row, best]
-                there = value > -2
-                found.append((q[there], best[there], value[there]))
-                cos[row, best] = -2
-        waiting = np.concatenate(still) if still else waiting[:0]
-    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))  # type: ignore[return-value]
-
-
-def _hot_copies(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
-    """Vectors without the surplus copies of blobs that very many rows share, and the neighbours of those copies.
-
-    At most 1/HOT_COPIES blobs are that frequent, so their hashes are broadcast.
+                # A query is done if k rows lie within the radius: those are verified but for a part of MISS.
+                done = np.bincount(i[cos >= 1 - radius * radius / 2], minlength=len(part)) >= k
+                still.append(part[~done])
+                ok = done[i]
+                i, j, cos = i[ok], j[ok], cos[ok]
+            ok = cos >= least - 1e-5
+            i, j, cos = i[ok], j[ok], cos[ok]
+            order = np.lexsort((j, -cos, i))
+            i, j = i[order], j[order]
+            # float32 orders the rows; what is near the k-th is ordered again by float64.
+            first = np.searchsorted(i, i, "left")
+            near = np.arange(len(i)) - first < k + 3
+            i, j = i[near], j[near]
+            exact = np.einsum("ij,ij->i", q[part[i]], x[j])
+            order = np.lexsort((j, -exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            keep = (np.arange(len(i)) - np.searchsorted(i, i, "left") < k) & (exact >= least)
+            found.append((part[i[keep]], j[keep], exact[keep]))
+        if last:
+            break
+        waiting = np.concatenate(still) if still else none
+    return (*(np.concatenate([f[n] for f in found]) for n in range(3)), verified)  # type: ignore[return-value]
+
+
+def _directions(dimensions: int, arrays: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dimensions, arrays)).astype(np.float32)
+
+
+def _copies(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """Vectors without the copies of a blob beyond its k + 1 smallest ids, and (id, other) of the copies left out.
+
+    A copy that is left out has the smallest of the others as its neighbours,
+    with cosine 1. Blobs compare by 128 bits of hash; no group of copies is
+    collected, and a blob of very many rows meets its ids in a broadcast row.
     """
-    stamped = vectors.withColumn("h", F.xxhash64(*_REVISION, "vector_blob"))
-    counts = stamped.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 10_000)
-    hot = [r[0] for r in counts.orderBy(F.desc("n")).limit(int(1 / HOT_COPIES)).collect()]
-    if not hot:
-        return None
-    is_hot = F.col("h").isin(hot)
-    ids = stamped.filter(is_hot).select("h", "id").distinct()
-    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("r") <= k + 1).drop("r")
-    first = F.broadcast(first)
-    kept = stamped.filter(is_hot).join(first, ["h", "id"], "left_semi").unionByName(stamped.filter(~is_hot)).drop("h")
-    surplus = ids.join(first, ["h", "id"], "left_anti")
-    pairs = surplus.join(first.withColumnRenamed("id", "other"), "h")
-    w = Window.partitionBy("id").orderBy("other")
-    return kept, pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("id", "other", F.lit(1.0).cast("float").alias("cosine"))
-
-
-def most_similar(df: DataFrame, k: int, seed: int = 7) -> DataFrame:
+    h = F.concat_ws("-", F.xxhash64(*_REVISION, "vector_blob"), F.xxhash64(F.lit(1), "vector_blob"))
+    stamped = vectors.withColumn("h", h)
+    copied = stamped.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1).select("h")
+    if not copied.limit(1).count():
+        return vectors, None
+    marked = lookup(stamped, copied.withColumn("copied", F.lit(True)), "h", "left")
+    ids = marked.filter("copied").select("h", "id").distinct()
+    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("r") <= k + 1)
+    # At most k + 1 ids of each blob.
+    firsts = first.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("firsts"))
+    named = lookup(marked.filter("copied"), firsts, "h")
+    kept = named.filter(F.array_contains("firsts", F.col("id"))).select(vectors.columns).unionByName(marked.filter("copied is null").select(vectors.columns))
+    left = named.filter(~F.array_contains("firsts", F.col("id"))).select("id", F.slice("firsts", 1, k).alias("firsts")).distinct()
+    return kept, left.select("id", F.explode("firsts").alias("other"))
+
+
+def most_similar(df: DataFrame, k: int, least: float | None = None, seed: int = 7, most: int = MOST_PIVOTS) -> DataFrame:
     """(id, other, cosine) of the ``k`` most similar other vectors of every valid vector, within model_id and model_hash.
 
+    With ``least`` only those with a cosine of ``least`` or more are sought:
+    windows then open once, at the radius of that cosine.
+
     ``df`` has id (long), model_id, model_hash, dimensions and vector_blob; a
     vector is valid if its blob holds exactly ``dimensions`` finite float32
     numbers that are not all zero. Other rows are left out, as are rows without
@@ -128,16 +187,14 @@ def most_similar(df: DataFrame, k: int, seed: int = 7) -> DataFrame:
     smaller id. A revision with one vector gives no row, an empty table an empty
     result. Columns beyond those named aren't read.
 
-    Copies of a blob that fill more than HOT_COPIES of the rows enter the index
-    by their k + 1 smallest ids; the other copies get the smallest of these as
-    their neighbours, with cosine 1.
+    Of exact copies of a blob the k + 1 smallest ids enter the index; the others
+    get the k smallest as their neighbours, with cosine 1.
     """
     spark = df.sparkSession
-    vectors = valid_vectors(df)
-    hot = _hot_copies(vectors, k)
-    if hot:
-        vectors = hot[0]
-    shared = spark.sparkContext.broadcast(Pivots.sample(vectors, PER_CELL, seed))
+    vectors, copies = _copies(valid_vectors(df), k)
+    pivots = Pivots.sample(vectors, PER_CELL, seed, most)
+    shared = spark.sparkContext.broadcast(pivots)
+    cells, radii = (CELLS, RADII) if least is None else (NEAR_CELLS, (math.sqrt(max(2 - 2 * least, 1e-6)),))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
@@ -146,22 +203,65 @@ def most_similar(df: DataFrame, k: int, seed: int = 7) -> DataFrame:
                 x, ok = unit_rows(decode(list(rows["vector_blob"]), key[2]))
                 x, ids = x[ok], rows["id"].to_numpy()[ok]
                 if len(x):
-                    yield pd.DataFrame({"model_id": key[0], "model_hash": key[1], "dimensions": key[2], "id": ids, "cells": list(own.nearest(key, x, CELLS)), "v": pack(x)})
+                    yield pd.DataFrame({"model_id": key[0], "model_hash": key[1], "dimensions": key[2], "id": ids, "cells": list(own.nearest(key, x, cells)), "v": fine(x)})
 
-    routed = vectors.mapInPandas(route, "model_id string, model_hash string, dimensions int, id long, cells array<long>, v binary")
+    routed = vectors.mapInPandas(route, f"{_KEYS}, id long, cells array<long>, v binary")
     entered = routed.select(*_REVISION, "id", "v", F.explode("cells").alias("cell"))
+    if pivots.rows > 2 * most * PER_CELL:
+        entered = split_cells(entered, PER_CELL, pivots.rows * cells // most, seed)
 
-    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def meet(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("id").sort_values("id")
-        x, ids = unpack(list(rows["v"])), rows["id"].to_numpy()
-        directions = np.random.default_rng(seed).standard_normal((x.shape[1], PROJECTIONS)).astype(np.float32)
-        q, r, cos = search_cell(x, k, directions)
+        x, ids = unfine(list(rows["v"])), rows["id"].to_numpy()
+        q, r, cos, _n = search_rows(x, x, np.arange(len(x)), k, _directions(x.shape[1], PROJECTIONS, seed), radii, -2.0 if least is None else least)
         return pd.DataFrame({"id": ids[q], "other": ids[r], "cosine": cos})
 
-    found = entered.groupBy(*_REVISION, "cell").applyInPandas(search, "id long, other long, cosine float")
-    # A vector has at most CELLS x k rows here; the cosines of a pair from two cells may differ in the last bit.
-    near = F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "other")))
-    once = F.filter("near", lambda x, i: ~F.array_contains(F.slice(F.col("near.other"), 1, i), x["other"]))
-    ranked = found.groupBy("id").agg(near.alias("near")).select("id", F.slice(once, 1, k).alias("best"))
-    best = ranked.select("id", F.explode("best").alias("b")).select("id", F.col("b.other").alias("other"), (-F.col("b.d")).alias("cosine"))
-    return best.unionByName(hot[1]) if hot else best
+    found = entered.groupBy(*_REVISION, "cell").applyInPandas(meet, "id long, other long, cosine double")
+    # A vector has at most cells x k rows here; one pair may come from several cells, with the same cosine but for its last bits.
+    near = F.sort_array(F.collect_list(F.struct((-F.round("cosine", 12)).alias("d"), "other")))
+    ranked = found.groupBy("id").agg(F.array_distinct(near).alias("near")).select("id", F.explode(F.slice("near", 1, k)).alias("b"))
+    best = ranked.select("id", F.col("b.other").alias("other"), (-F.col("b.d")).alias("cosine"))
+    return best if copies is None else best.unionByName(copies.withColumn("cosine", F.lit(1.0)))
+
+
+def search(df: DataFrame, queries: Column, k: int, seed: int = 7) -> DataFrame:
+    """(id, other, cosine) of the ``k`` most similar other vectors of each vector for which ``queries`` (a condition on id) holds.
+
+    Rows and values as for ``most_similar``, but every query meets the sorted
+    arrays of all rows of its revision: rows are cut into blocks, queries into
+    chunks, and the best of each block are merged. Only collisions that are too
+    few lose a neighbour. Work is the product of queries and rows.
+    """
+    spark = df.sparkSession
+    vectors = valid_vectors(df)
+    sizes = vectors.groupBy(*_REVISION).agg(F.count(F.lit(1)).alias("n"), F.count_if(queries).alias("q")).collect()
+    # One row for each revision of a model.
+    cuts = spark.createDataFrame([(r["model_id"], r["model_hash"], r["dimensions"], -(-r["n"] // BLOCK), max(1, -(-r["q"] // CHUNK))) for r in sizes], f"{_KEYS}, blocks long, chunks long")
+
+    def unit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, rows in by_revision(frame):
+                x, ok = unit_rows(decode(list(rows["vector_blob"]), key[2]))
+                yield rows.loc[ok, [*_REVISION, "id", "blocks", "chunks", "asks"]].assign(v=fine(x[ok]))
+
+    placed = vectors.join(F.broadcast(cuts), _REVISION).withColumn("asks", queries)
+    units = placed.mapInPandas(unit, f"{_KEYS}, id long, blocks long, chunks long, asks boolean, v binary")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    rows = units.select(*_REVISION, "id", "v", own("blocks").alias("block"), every("chunks").alias("chunk"))
+    asks = units.filter("asks").select(*_REVISION, "id", "v", own("chunks").alias("chunk"), every("blocks").alias("block"))
+    asks = asks.select(*[F.col(c).alias(f"q_{c}") for c in asks.columns])
+
+    def meet(_: tuple, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(asks):
+            return pd.DataFrame({"id": [], "other": [], "cosine": []})
+        rows, asks = rows.drop_duplicates("id").sort_values("id"), asks.drop_duplicates("q_id").sort_values("q_id")
+        ids, qids = rows["id"].to_numpy(), asks["q_id"].to_numpy()
+        at = np.minimum(np.searchsorted(ids, qids), len(ids) - 1)
+        q, r, cos, _n = search_rows(unfine(list(rows["v"])), unfine(list(asks["q_v"])), np.where(ids[at] == qids, at, -1), k, _directions(int(rows["dimensions"].iloc[0]), SEARCH_PROJECTIONS, seed), SEARCH_RADII)
+        return pd.DataFrame({"id": qids[q], "other": ids[r], "cosine": cos})
+
+    key = [*_REVISION, "block", "chunk"]
+    found = rows.groupBy(*key).cogroup(asks.groupBy(*[f"q_{c}" for c in key])).applyInPandas(meet, "id long, other long, cosine double")
+    w = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
+    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")

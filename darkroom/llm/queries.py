@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from darkroom.functions.guid import guid
 from darkroom.llm.bpe import count_tokens, encode_documents, tokenizer_path
 from darkroom.llm.clusters import similarity_clusters, typical_faces
-from darkroom.llm.neighbours import most_similar
+from darkroom.llm.neighbours import most_similar, search
 from darkroom.llm.packing import pack_documents
 from darkroom.llm.residue import residue_documents
 from darkroom.llm.splits import assign_splits, photo_groups
 from darkroom.llm.topn import top_n_per_group
-from darkroom.plans.dialect import sql_guid
+from darkroom.plans.dialect import sql_guid, sql_vectors
 from darkroom.plans.staging import Staging
 from darkroom.sources.tables import read_table
 
@@ -27,13 +27,21 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_similar(spark: SparkSession, base: str) -> DataFrame:
+    """The five most similar vectors, of all, of every vector whose id is divisible by 100: a search."""
+    return search(read_table(spark, base, "face_embeddings"), F.col("id") % 100 == 0, 5)
+
+
+def p2_every(spark: SparkSession, base: str) -> DataFrame:
     """The five most similar other vectors of every valid vector, with their cosine."""
     return most_similar(read_table(spark, base, "face_embeddings"), 5)
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    """Pairs with a cosine of at least 0.95 of which one is among the five most similar of the other."""
-    near = p2_similar(spark, base).filter(F.col("cosine") >= 0.95)
+    """Pairs with a cosine of at least 0.95 of which one is among the five most similar of the other.
+
+    Whether a vector this near is among the five depends only on others as near.
+    """
+    near = most_similar(read_table(spark, base, "face_embeddings"), 5, 0.95)
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
@@ -76,11 +84,25 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_similar": p2_similar, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p7_found": p7_found, "p7_clusters": p7_clusters, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p2_similar": p2_similar, "p2_every": p2_every, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p7_found": p7_found, "p7_clusters": p7_clusters, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
+    near = "list_inner_product(a.x, b.x) / a.norm / b.norm"
     return {
+        "p2_found": f"""
+            WITH {sql_vectors()},
+            pairs AS (SELECT a.id AS a, b.id AS b, {near} AS c FROM vectors a JOIN vectors b ON a.model_id = b.model_id AND a.model_hash = b.model_hash AND len(a.x) = len(b.x) AND a.id <> b.id WHERE {near} >= 0.95),
+            best AS (SELECT a, b FROM pairs QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+            SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM best""",
+        "p7_found": f"""
+            WITH RECURSIVE {sql_vectors()},
+            crops AS (SELECT DISTINCT lower(crop_id) AS crop, lower(face_occurrence_id) AS face FROM face_crops WHERE crop_id IS NOT NULL AND face_occurrence_id IS NOT NULL),
+            own AS (SELECT v.*, c.face FROM vectors v JOIN crops c ON c.crop = lower(v.face_crop_id)),
+            links AS MATERIALIZED (SELECT DISTINCT a.model_id, a.model_hash, a.face AS f, b.face AS g FROM own a JOIN own b ON a.model_id = b.model_id AND a.model_hash = b.model_hash AND len(a.x) = len(b.x) WHERE {near} >= 0.65),
+            reach AS (SELECT model_id, model_hash, f, g FROM links UNION SELECT r.model_id, r.model_hash, r.f, l.g FROM reach r JOIN links l ON l.model_id = r.model_id AND l.model_hash = r.model_hash AND l.f = r.g),
+            named AS (SELECT model_id, model_hash, f AS face, min(g) AS label FROM reach GROUP BY ALL)
+            SELECT DISTINCT model_hash, label AS cluster_face_id, face AS face_occurrence_id FROM named QUALIFY count(*) OVER (PARTITION BY model_id, model_hash, label) >= 3""",
         "p5_found": f"""
             WITH RECURSIVE pairs AS (SELECT DISTINCT {sql_guid("person_id")} AS p, {sql_guid("asset_revision_id")} AS r FROM photo_person_actions WHERE person_id IS NOT NULL),
             links AS (SELECT DISTINCT a.p AS a, b.p AS b FROM pairs a JOIN pairs b ON a.r = b.r),

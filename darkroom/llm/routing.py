@@ -21,6 +21,8 @@ from darkroom.functions.vectors import blob_fits, decode, unit_rows
 MOST_PIVOTS = 32_768
 #: Each number of a vector travels as a 16-bit part of the vector's largest number: an error of about 1e-6 in a cosine.
 SCALE = 32_767
+#: The same in 24 bits.
+FINE_SCALE = 8_388_607
 
 
 def pack(x: np.ndarray) -> list[bytes]:
@@ -36,6 +38,22 @@ def unpack(blobs: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def fine(x: np.ndarray) -> list[bytes]:
+    """Unit rows as 24-bit integers relative to the row's largest number: an error below 1e-7 in a cosine, as float32 sums have."""
+    peak = np.abs(x).max(axis=1, keepdims=True)
+    q = np.rint(x / np.where(peak > 0, peak, 1) * FINE_SCALE).astype("<i4")
+    return [r.tobytes() for r in np.ascontiguousarray(q.view(np.uint8).reshape(*q.shape, 4)[:, :, :3])]
+
+
+def unfine(blobs: list[bytes]) -> np.ndarray:
+    """Unit rows (float64) of ``fine`` ones."""
+    raw = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(len(blobs), -1, 3)
+    wide = np.zeros((*raw.shape[:2], 4), dtype=np.uint8)
+    wide[:, :, 1:] = raw
+    x = (wide.view("<i4")[:, :, 0] >> 8).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def valid_vectors(df: DataFrame, *keep: str) -> DataFrame:
     """Rows whose blob can be a vector: id, model_id, model_hash, dimensions (int), vector_blob and ``keep``.
 
@@ -49,8 +67,8 @@ def valid_vectors(df: DataFrame, *keep: str) -> DataFrame:
 class Pivots:
     """The sampled pivots by revision: {(model_id, model_hash, dimensions): float32 matrix}."""
 
-    def __init__(self, by: dict[tuple, np.ndarray]):
-        self.by = by
+    def __init__(self, by: dict[tuple, np.ndarray], rows: int = 0):
+        self.by, self.rows = by, rows
         self._copies: dict[tuple, tuple] = {}
 
     @staticmethod
@@ -65,7 +83,7 @@ class Pivots:
         # A hash of the id draws the same pivots every time, however the rows are distributed.
         draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
         few = F.broadcast(vectors.sparkSession.createDataFrame([(r["model_id"], r["model_hash"], r["dimensions"], float(max(share, min(1.0, 8 / r["n"])))) for r in sizes], "model_id string, model_hash string, dimensions int, share double"))
-        picked = vectors.join(few, revision).filter(draw < F.col("share")).select(*revision, "id", "vector_blob").limit(2 * most).collect()
+        picked = vectors.join(few, revision).filter(draw < F.col("share")).select(*revision, "id", "vector_blob").dropDuplicates([*revision, "id"]).collect()
         by: dict[tuple, dict[int, bytes]] = {}
         for r in picked:
             by.setdefault((r["model_id"], r["model_hash"], r["dimensions"]), {})[r["id"]] = bytes(r["vector_blob"])
@@ -77,7 +95,7 @@ class Pivots:
         for r in sizes:
             key = (r["model_id"], r["model_hash"], r["dimensions"])
             out.setdefault(key, np.eye(1, key[2], dtype=np.float32))
-        return Pivots(out)
+        return Pivots(out, total)
 
     def nearest(self, key: tuple, x: np.ndarray, t: int) -> np.ndarray:
         """The numbers of the ``t`` pivots (or all, if fewer) nearest to each unit row."""
@@ -111,3 +129,32 @@ class Pivots:
 def by_revision(frame: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
     for key, rows in frame.groupby(["model_id", "model_hash", "dimensions"], sort=False):
         yield (key[0], key[1], int(key[2])), rows
+
+
+def split_cells(entered: DataFrame, per_cell: int, rows_of_cell: int, seed: int, t: int = 2, part: int = 20_000) -> DataFrame:
+    """A second level of cells: rows (revision, id, v, cell) of each cell enter the cells of the ``t`` nearest of its own sampled rows.
+
+    For tables of more rows than the broadcast pivots can divide: then a cell
+    has about ``rows_of_cell`` rows, which grows with the table. Its rows are
+    spread over parts of about ``part``, and its own pivots, one to ``per_cell``
+    rows, go to each part. A cell without a sampled row stays whole.
+    """
+    revision = ["model_id", "model_hash", "dimensions"]
+    parts = max(1, -(-rows_of_cell // part))
+    draw = F.pmod(F.xxhash64("id", "cell", F.lit(seed)), F.lit(per_cell))
+    inner = entered.filter(draw == 0).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    inner = inner.select(*[F.col(c).alias(f"p_{c}") for c in inner.columns])
+    spread = entered.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+
+    def assign(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({c: [] for c in [*revision, "id", "v", "cell"]})
+        near = np.zeros((len(rows), 1), dtype=np.int64)
+        if len(own):
+            own = own.drop_duplicates("p_id").sort_values("p_id")
+            near = Pivots({(): unfine(list(own["p_v"])).astype(np.float32)}).nearest((), unfine(list(rows["v"])), t)
+        at = np.repeat(np.arange(len(rows)), near.shape[1])
+        return rows.iloc[at][[*revision, "id", "v"]].assign(cell=(int(key[3]) << 24) + near.ravel())
+
+    keys = [*revision, "cell", "part"]
+    return spread.groupBy(*keys).cogroup(inner.groupBy(*[f"p_{c}" for c in keys])).applyInPandas(assign, "model_id string, model_hash string, dimensions int, id long, v binary, cell long")

@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from darkroom.llm import neighbours
 from darkroom.llm.clusters import assign, feature_leaves, leaves_of, similarity_clusters, typical_faces, ward
-from darkroom.llm.neighbours import most_similar, search_cell
+from darkroom.llm.neighbours import RADII, most_similar, search, search_rows
+from darkroom.llm.routing import fine, unfine
 
 E = "id long, face_crop_id string, model_id string, model_hash string, dimensions int, vector_blob binary, cell int, v string"
 C = "crop_id string, face_occurrence_id string, leaf int"
@@ -52,20 +53,63 @@ def test_every_vector_has_k_and_never_itself(spark):
     assert out.groupby("id").size().eq(5).all() and out["id"].nunique() == 300
 
 
-def test_copies_beyond_the_bound(spark, monkeypatch):
-    real = neighbours._hot_copies
+def test_copies_beyond_k(spark):
     x = np.concatenate([np.ones((60, 32)), np.random.default_rng(3).standard_normal((100, 32))])
+    out = most_similar(spark.createDataFrame(rows_of(x) + rows_of(x)[:70], E), 5).filter("cosine > 0.999").toPandas()
+    assert set(out["id"]) == set(range(60)) and out.groupby("id").size().eq(5).all() and (out["id"] != out["other"]).all()
+    assert set(out.loc[out["id"] > 5, "other"]) == set(range(5))
+
+
+@pytest.mark.parametrize("least", [0.65, 0.95])
+def test_all_pairs_above_a_cosine(spark, least):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([groups(rng, 80, 4, 48, 0.1), groups(rng, 20, 12, 48, 0.4), rng.standard_normal((900, 48))])
+    got = {(r["id"], r["other"]) for r in most_similar(spark.createDataFrame(rows_of(x), E), 5, least).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= least}
+    assert got <= {(i, int(j)) for i, j in zip(*np.nonzero(s >= least))} and len(got & want) >= 0.98 * len(want) > 500
+
+
+def test_second_level_of_cells(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([groups(rng, 100, 6, 32, 0.2), rng.standard_normal((3000, 32))])
     df = spark.createDataFrame(rows_of(x), E)
-    out = most_similar(df, 5).filter("cosine > 0.999").toPandas()
-    assert set(out["id"]) == set(range(60)) and out.groupby("id").size().eq(5).all()
-    import inspect
+    got = {(r["id"], r["other"]) for r in most_similar(df, 5, 0.9, most=4).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.9}
+    assert len(want) > 1500 and len(got & want) >= 0.97 * len(want)
 
-    source = inspect.getsource(real).replace("10_000", "20")
-    scope = dict(vars(neighbours))
-    exec(source, scope)  # the same function with a bound that this table exceeds
-    monkeypatch.setattr(neighbours, "_hot_copies", scope["_hot_copies"])
-    out = most_similar(df, 5).filter("cosine > 0.999").toPandas()
-    assert set(out["id"]) == set(range(60)) and out.groupby("id").size().eq(5).all()
+
+def test_search_finds_nearly_all_neighbours_of_the_queries(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([groups(rng, 50, 5, 64, 0.4), rng.standard_normal((2000, 64))])
+    rows = rows_of(x) + rows_of(x)[:30] + odd_rows() + rows_of(rng.standard_normal((3, 32)), 5000, digest="other") + rows_of(rng.standard_normal((1, 16)), 6000, digest="single")
+    out = search(spark.createDataFrame(rows, E), F.col("id") % 10 == 0, 5).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(0, len(x), 10) for j in np.argsort(-s[i])[:5]}
+    own = out[out["id"] < 5000]
+    assert len(own) == len(want) and len({*zip(own["id"], own["other"])} & want) >= 0.95 * len(want)
+    assert {*zip(out.loc[out["id"] >= 5000, "id"], out.loc[out["id"] >= 5000, "other"])} == {(5000, 5001), (5000, 5002)}
+
+
+def test_24_bits_keep_a_cosine():
+    x = np.random.default_rng(12).standard_normal((200, 128))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.abs(unfine(fine(x)) @ x.T - x @ x.T).max() < 1e-7
+
+
+def test_few_rows_are_verified():
+    rng = np.random.default_rng(13)
+    x = np.concatenate([groups(rng, 20, 5, 128, 0.1), rng.standard_normal((1500, 128))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, r, c, verified = search_rows(x, x, np.arange(len(x)), 5, rng.standard_normal((128, 16)).astype(np.float32), (0.316,), 0.95)
+    assert len(q) == 20 * 5 * 4 and verified < 0.02 * len(x) ** 2
 
 
 def test_empty(spark):
@@ -77,7 +121,7 @@ def test_empty(spark):
 def test_tiny_cells(n):
     x = np.random.default_rng(4).standard_normal((n, 8)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q, r, c = search_cell(x, 5, np.random.default_rng(0).standard_normal((8, 16)).astype(np.float32))
+    q, r, c, _ = search_rows(x.astype(np.float64), x.astype(np.float64), np.arange(n), 5, np.random.default_rng(0).standard_normal((8, 16)).astype(np.float32), RADII)
     assert len(q) == n * (n - 1) and (q != r).all()
 
 
