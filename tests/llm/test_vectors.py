@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from darkroom.llm.clusters import assign, feature_leaves, leaves_of, similarity_clusters, typical_faces, ward
+from darkroom.llm.clusters import FeatureTree, assign, feature_leaves, leaves_of, similarity_clusters, typical_faces, ward
 from darkroom.llm.neighbours import RADII, most_similar, search, search_rows
 from darkroom.llm.routing import fine, unfine
 
@@ -151,18 +151,67 @@ def test_clusters_against_single_linkage(spark, staging):
     assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
-def test_features_add_up_and_ward_merges_the_close():
+def test_tree_adds_up_and_ward_merges_the_close():
     rng = np.random.default_rng(8)
-    x = groups(rng, 5, 40, 64, 0.3).astype(np.float32)
+    x = np.concatenate([groups(rng, 5, 40, 64, 0.3), rng.standard_normal((600, 64))]).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    leaf, sums, counts = feature_leaves(x)
-    assert counts.sum() == len(x)
+    leaf, sums, counts = feature_leaves(x, 0.72)
+    assert counts.sum() == len(x) and (counts > 0).all() and len(counts) < 640
     for i in range(len(counts)):
         np.testing.assert_allclose(sums[i], x[leaf == i].sum(axis=0), rtol=1e-4, atol=1e-4)
-    head = ward(x, np.ones(len(x)), 0.65)
+    head, _, _ = ward(x[:200], np.ones(200), 0.65)
     assert len(set(head)) == 5 and all(len(set(head[i * 40 : i * 40 + 40])) == 1 for i in range(5))
 
 
+def test_tree_keeps_its_branching():
+    x = np.random.default_rng(18).standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = FeatureTree(16, 0.8, 8)
+    entry = np.concatenate([tree.insert(x[b : b + 500]) for b in range(0, 3000, 500)])
+    assert max(map(len, tree.below)) <= 8 and sum(tree.inner) > 8
+    assert tree.entries == len(set(entry)) and tree.counts[tree.root].sum() == 3000
+    np.testing.assert_allclose(tree.sums[tree.root].sum(axis=0), x.sum(axis=0), atol=1e-6)
+    same = FeatureTree(16, 0.8, 8).insert(np.repeat(x[:1], 100, axis=0))
+    assert len(set(same)) == 1
+
+
+def test_ward_is_not_the_link_graph():
+    # A chain: each is near to the next one only, so what has grown is no longer near to what follows.
+    turn = np.radians(45) * np.arange(6)
+    x = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    head, linked, doubtful = ward(x, np.ones(6), 0.65)
+    assert len(set(head)) == 3 and {(int(a), int(b)) for a, b in linked} == {(1, 2), (3, 4)} and not len(doubtful)
+    # Two features whose mean falls short, though a pair of members is near.
+    sums, counts = np.array([[1.0, 0, 0] , [0.55, 0.6, 0.1]]) * [[2 * 0.8], [2]], np.array([2, 2])
+    head, linked, doubtful = ward(sums, counts, 0.65)
+    assert len(set(head)) == 2 and not len(linked) and doubtful.tolist() == [[0, 1]]
+
+
+def test_a_chain_and_a_single_pair_join_clusters(spark, staging):
+    rng = np.random.default_rng(19)
+    d = 64
+    base = np.linalg.qr(rng.standard_normal((d, d)))[0]
+    turn = np.radians(44) * np.arange(9)
+    chain = np.cos(turn)[:, None] * base[0] + np.sin(turn)[:, None] * base[1]
+    left = base[5] + 0.06 * rng.standard_normal((30, d))
+    right = 0.55 * base[5] + np.sqrt(1 - 0.55**2) * base[6] + 0.06 * rng.standard_normal((30, d))
+    left[0] = 0.93 * base[5] + 0.36 * base[6]
+    right[0] = 0.7 * base[5] + 0.7 * base[6]
+    far = 0.5 * base[5] + np.sqrt(1 - 0.25) * base[9] + 0.02 * rng.standard_normal((30, d))
+    x = np.concatenate([chain, left, right, far, rng.standard_normal((100, d))])
+    out = similarity_clusters(spark.createDataFrame(rows_of(x), E), spark.createDataFrame([(guid(i, 1), guid(i, 2), 1) for i in range(len(x))], C), 0.65, 3, staging).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near, label = u @ u.T >= 0.65, np.arange(len(x))
+    while True:
+        new = np.array([label[near[i]].min() for i in range(len(x))])
+        if (new == label).all():
+            break
+        label = new
+    want = {(guid(int(label[i]), 2), guid(i, 2)) for i in range(len(x)) if (label == label[i]).sum() >= 3}
+    assert {*zip(out["cluster_face_id"], out["face_occurrence_id"])} == want
+    assert out.loc[out["cluster_face_id"] == guid(0, 2), "part"].nunique() > 1
+
+
 def test_no_vectors_no_clusters(spark, staging):
     assert similarity_clusters(spark.createDataFrame([], E), spark.createDataFrame([], C), 0.65, 3, staging).count() == 0
 
@@ -188,7 +237,7 @@ def test_every_cluster_with_its_size_and_the_faces_nearest_to_its_centroid(spark
         for i, s in zip(own, near):
             best[guid(face[i], 2)] = max(s, best.get(guid(face[i], 2), -1))
         want[min(best)] = (len(best), sorted(best, key=lambda f: -best[f])[:5])
-    assert out.columns.tolist() == ["model_id", "model_hash", "cluster_face_id", "size", "typical_faces"]
+    assert out.columns.tolist() == ["model_id", "model_hash", "cluster_face_id", "size", "parts", "typical_faces"]
     assert {r.cluster_face_id: (r.size, list(r.typical_faces)) for r in out.itertuples(index=False)} == want
 
 
@@ -197,7 +246,7 @@ def test_vectors_are_assigned_to_the_clusters_they_are_near_to(spark, staging):
 
     rng = np.random.default_rng(10)
     x = np.concatenate([groups(rng, 12, 30, 64, 0.4), rng.standard_normal((300, 64))])
-    leaves, pivots = leaves_of(spark.createDataFrame(rows_of(x), E), staging, 11)
+    leaves, pivots = leaves_of(spark.createDataFrame(rows_of(x), E), 0.65, staging, 11)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     # Features of half of each group only: the other half must find them by the pass.
     own = leaves.select("id", "leaf").toPandas().set_index("id")["leaf"]
