@@ -44,6 +44,8 @@ SEARCH_RADII = (0.32, 0.84, 1.0, 1.1, 1.17, 1.22, 1.28, 2.0)
 DENSE = 0.15
 #: Queries that are counted at a time; memory is bounded by QUERIES x rows of the cell.
 QUERIES = 96
+#: Blobs with more than k + 1 copies that are broadcast; if there are more, they are joined by a shuffle.
+MOST_COPIED = 50_000
 #: Rows of a block and queries of a chunk that a search brings together.
 BLOCK, CHUNK = 16_384, 16_384
 
@@ -159,17 +161,18 @@ def _copies(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
     """
     h = F.concat_ws("-", F.xxhash64(*_REVISION, "vector_blob"), F.xxhash64(F.lit(1), "vector_blob"))
     stamped = vectors.withColumn("h", h)
-    copied = stamped.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1).select("h")
-    if not copied.limit(1).count():
+    # Only hashes and ids are shuffled, and of each hash no more than k + 2 ids.
+    ranked = stamped.select("h", "id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("r") <= k + 2)
+    firsts = ranked.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("firsts")).filter(F.size("firsts") > k + 1).select("h", F.slice("firsts", 1, k + 1).alias("firsts"))
+    known = firsts.limit(MOST_COPIED + 1).collect()
+    if not known:
         return vectors, None
-    marked = lookup(stamped, copied.withColumn("copied", F.lit(True)), "h", "left")
-    ids = marked.filter("copied").select("h", "id").distinct()
-    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("r") <= k + 1)
-    # At most k + 1 ids of each blob.
-    firsts = first.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("firsts"))
-    named = lookup(marked.filter("copied"), firsts, "h")
-    kept = named.filter(F.array_contains("firsts", F.col("id"))).select(vectors.columns).unionByName(marked.filter("copied is null").select(vectors.columns))
-    left = named.filter(~F.array_contains("firsts", F.col("id"))).select("id", F.slice("firsts", 1, k).alias("firsts")).distinct()
+    if len(known) <= MOST_COPIED:
+        marked = stamped.join(F.broadcast(vectors.sparkSession.createDataFrame(known, firsts.schema)), "h", "left")
+    else:
+        marked = lookup(stamped, firsts, "h", "left")
+    kept = marked.filter(F.col("firsts").isNull() | F.array_contains("firsts", F.col("id"))).select(vectors.columns)
+    left = marked.filter(F.col("firsts").isNotNull() & ~F.array_contains("firsts", F.col("id"))).select("id", F.slice("firsts", 1, k).alias("firsts")).distinct()
     return kept, left.select("id", F.explode("firsts").alias("other"))
 
 
