@@ -1,10 +1,11 @@
 """Points near points, and regions around points.
 
-A quadtree of a bounded sample cuts the world into leaves of similar load. Each
-point probes in its own leaf; what it may meet is replicated to every leaf that
-the reach around it touches. A leaf bulk-loads an R-tree (sort-tile-recursive),
-probes it for all its points at once, and refines with the exact distance. Of
-the two ways to find a pair of points only the one whose probe, the reference
+A quadtree of a sample cuts the world into leaves of similar load, whose number
+grows with the points. Each point probes in its own leaf; what it may meet is
+replicated to every leaf that the reach around it touches. A spot too crowded
+for a leaf is cut on both sides: blocks of its probes meet blocks of its
+entries. A task bulk-loads an R-tree (sort-tile-recursive), probes it for all
+its points at once, and refines with the exact distance. Of the two ways to find a pair of points only the one whose probe, the reference
 point, has the smaller key is kept, so no pair needs a distinct.
 """
 
@@ -20,28 +21,39 @@ from pyspark.sql import functions as F
 
 from darkroom.functions.geo import EARTH_RADIUS, great_circle, on_earth
 
-#: Points of the sample, and those after which a leaf of the sample splits in four.
-SAMPLE, LEAF_SAMPLE = 40_000, 250
-#: Bits of each axis of the finest cell: 2^16 cells of 600 m on the equator, far above the reach.
-DEPTH = 16
+#: Points of the sample: at least SAMPLE, else one of SHARE points, at most MOST_SAMPLE (16 MB at the driver).
+SAMPLE, SHARE, MOST_SAMPLE = 40_000, 400, 1_000_000
+#: Points of a leaf: the table's part of LEAVES, within these bounds. A leaf of the sample has LEAST_SAMPLE points at least.
+LEAVES, LEAST_LEAF, MOST_LEAF, LEAST_SAMPLE = 256, 500, 20_000, 20
+#: Bits of each axis of the finest cell, at most; a finest cell is higher than the reach is wide.
+DEPTH = 20
 #: Entries of a node of the R-tree.
 FANOUT = 16
-#: Probes that one task handles; a leaf with more is cut into blocks, each with all of its leaf's entries.
+#: Probes, and entries, that one task handles; a leaf with more is cut into blocks of both.
 BLOCK = 40_000
+#: Columns of finest cells that a reach may span before the tree is walked for it.
+SPAN = 64
 #: Probes that look through the tree at a time.
 AT_ONCE = 4_096
 
 
+def depth_for(metres: float) -> int:
+    """The number of bits at which a cell is still higher than a reach of ``metres`` is wide."""
+    wide = max(2 * np.degrees(metres / EARTH_RADIUS) * 1.001, 1e-9)
+    return int(np.clip(np.floor(np.log2(180 / wide)), 1, DEPTH))
+
+
 @dataclass
 class Quadtree:
-    """Leaves as half-open ranges of Morton codes, in order of their start."""
+    """Leaves as half-open ranges of Morton codes of ``depth`` bits an axis, in order of their start."""
 
     start: np.ndarray
+    depth: int
 
     @staticmethod
-    def of_sample(lat: np.ndarray, lon: np.ndarray, leaf: int = LEAF_SAMPLE) -> "Quadtree":
-        codes = np.sort(morton(lat, lon))
-        starts, todo = [], [(0, 4**DEPTH)]
+    def of_sample(lat: np.ndarray, lon: np.ndarray, leaf: int, depth: int) -> "Quadtree":
+        codes = np.sort(morton(lat, lon, depth))
+        starts, todo = [], [(0, 4**depth)]
         while todo:
             lo, size = todo.pop()
             n = np.searchsorted(codes, lo + size) - np.searchsorted(codes, lo)
@@ -49,15 +61,18 @@ class Quadtree:
                 todo += [(lo + i * (size // 4), size // 4) for i in range(4)]
             else:
                 starts.append(lo)
-        return Quadtree(np.sort(np.array(starts, dtype=np.int64)))
+        return Quadtree(np.sort(np.array(starts, dtype=np.int64)), depth)
 
     def leaf(self, code: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.start, code, "right") - 1
 
+    def leaf_of(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        return self.leaf(morton(lat, lon, self.depth))
+
     def touched(self, south: float, west: float, north: float, east: float) -> np.ndarray:
         """The leaves that a box touches, by walking down the tree's cells."""
-        (r0, c0), (r1, c1) = _cell(south, west), _cell(north, east)
-        found, todo = [], [(0, 0, 0, DEPTH)]
+        (r0, c0), (r1, c1) = _cell(south, west, self.depth), _cell(north, east, self.depth)
+        found, todo = [], [(0, 0, 0, self.depth)]
         while todo:
             code, row, col, level = todo.pop()
             side, size = 1 << level, 4**level
@@ -72,18 +87,18 @@ class Quadtree:
         return np.unique(found)
 
 
-def _cell(lat: float | np.ndarray, lon: float | np.ndarray) -> tuple:
-    side = 1 << DEPTH
+def _cell(lat: float | np.ndarray, lon: float | np.ndarray, depth: int) -> tuple:
+    side = 1 << depth
     row = np.clip(np.floor((np.asarray(lat, dtype=float) + 90) / 180 * side), 0, side - 1).astype(np.int64)
     col = np.clip(np.floor((np.asarray(lon, dtype=float) + 180) / 360 * side), 0, side - 1).astype(np.int64)
     return row, col
 
 
-def morton(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+def morton(lat: np.ndarray, lon: np.ndarray, depth: int) -> np.ndarray:
     """The Morton code of each point's finest cell."""
-    row, col = _cell(lat, lon)
+    row, col = _cell(lat, lon, depth)
     code = np.zeros(len(row), dtype=np.int64)
-    for b in range(DEPTH):
+    for b in range(depth):
         code |= ((col >> b) & 1) << (2 * b) | ((row >> b) & 1) << (2 * b + 1)
     return code
 
@@ -136,15 +151,20 @@ def _spread(tree: Quadtree, lat: np.ndarray, lon: np.ndarray, metres: float) ->
     dlat, dlon, pole = reach_boxes(lat, lon, metres)
     near = np.nonzero(~pole)[0]
     out_p, out_l, out_s = [], [], []
-    # Away from the poles the reach is smaller than a finest cell, so its corners touch all of its leaves.
-    small = near[(2 * dlon[near] < 360 / (1 << DEPTH)) & (2 * dlat[near] < 180 / (1 << DEPTH))]
-    for sy in (-1, 1):
-        for sx in (-1, 1):
-            y, x = np.clip(lat[small] + sy * dlat[small], -90, 90), lon[small] + sx * dlon[small]
-            shift = np.where(x < -180, 360.0, np.where(x > 180, -360.0, 0.0))
-            out_p.append(small)
-            out_l.append(tree.leaf(morton(y, x + shift)))
-            out_s.append(shift)
+    # The reach is lower than a finest cell, so points no further apart than a cell on its two edges touch all of its leaves.
+    high, wide = 180 / (1 << tree.depth), 360 / (1 << tree.depth)
+    steps = np.ceil(2 * dlon / wide).astype(np.int64)
+    small = near[(steps[near] <= SPAN) & (2 * dlat[near] < high)]
+    for many in np.unique(steps[small]):
+        own = small[steps[small] == many]
+        for sy in (-1, 1):
+            y = np.clip(lat[own] + sy * dlat[own], -90, 90)
+            for t in range(many + 1):
+                x = lon[own] + (2 * t / many - 1) * dlon[own]
+                shift = np.where(x < -180, 360.0, np.where(x > 180, -360.0, 0.0))
+                out_p.append(own)
+                out_l.append(tree.leaf_of(y, x + shift))
+                out_s.append(shift)
     for i in np.setdiff1d(np.arange(len(lat)), small):
         for shift in (-360.0, 0.0, 360.0):
             west, east = lon[i] - dlon[i] + shift, lon[i] + dlon[i] + shift
@@ -178,9 +198,10 @@ def nearby(points: DataFrame, others: DataFrame, areas: DataFrame, metres: float
     n = points.count()
     if not n:
         return spark.createDataFrame([], "kind string, key_a string, key_b string")
-    sampled = points.filter(F.pmod(F.xxhash64("key", "lat"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))).select("lat", "lon").limit(2 * SAMPLE).toPandas()
-    # The leaves' load follows the whole table: a sample of SAMPLE points of a larger table still has leaves of at most n / SAMPLE x LEAF_SAMPLE points.
-    tree = Quadtree.of_sample(sampled["lat"].to_numpy(), sampled["lon"].to_numpy(), LEAF_SAMPLE if n > SAMPLE else 1_000)
+    wanted = min(max(SAMPLE, n // SHARE), MOST_SAMPLE)
+    sampled = points.filter(F.pmod(F.xxhash64("key", "lat", "lon"), F.lit(1 << 30)) < int(min(1.0, wanted / n) * (1 << 30))).select("lat", "lon").toPandas()
+    of_leaf = min(max(n // LEAVES, LEAST_LEAF), MOST_LEAF)
+    tree = Quadtree.of_sample(sampled["lat"].to_numpy(), sampled["lon"].to_numpy(), max(LEAST_SAMPLE, int(of_leaf * min(1.0, wanted / n))), depth_for(metres))
     shared = spark.sparkContext.broadcast(tree)
 
     def spread(kind: str, probes: bool):  # noqa: ANN202
@@ -194,7 +215,7 @@ def nearby(points: DataFrame, others: DataFrame, areas: DataFrame, metres: float
                 x = lon[p] + shift
                 yield pd.DataFrame({"leaf": leaf, "kind": kind, "key": key[p], "south": lat[p], "west": x, "north": lat[p], "east": x, "lat": lat[p], "lon": x, "probe": False})
                 if probes:
-                    yield pd.DataFrame({"leaf": own.leaf(morton(lat, lon)), "kind": kind, "key": key, "south": lat, "west": lon, "north": lat, "east": lon, "lat": lat, "lon": lon, "probe": True})
+                    yield pd.DataFrame({"leaf": own.leaf_of(lat, lon), "kind": kind, "key": key, "south": lat, "west": lon, "north": lat, "east": lon, "lat": lat, "lon": lon, "probe": True})
 
         return run
 
@@ -208,15 +229,20 @@ def nearby(points: DataFrame, others: DataFrame, areas: DataFrame, metres: float
 
     boxes = areas.select(F.col("key").cast("string").alias("key"), *[F.col(c).cast("double").alias(c) for c in ("south", "west", "north", "east")]).dropna().filter("south <= north and south between -90 and 90 and north between -90 and 90 and abs(west) <= 180 and abs(east) <= 180").distinct()
     entries = points.mapInPandas(spread("point", True), _ENTRY).unionByName(others.mapInPandas(spread("other", False), _ENTRY)).unionByName(boxes.mapInPandas(cover, _ENTRY))
-    # Leaves with more probes than a task should take are cut into blocks, each with all entries of its leaf.
-    full = points.mapInPandas(lambda fs: (pd.DataFrame({"leaf": shared.value.leaf(morton(f["lat"].to_numpy(), f["lon"].to_numpy()))}) for f in fs), "leaf long").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).collect()
-    blocks = F.create_map(*[F.lit(x) for r in full for x in (r["leaf"], -(-r["n"] // BLOCK))]) if full else None
-    if blocks is None:
-        entries = entries.withColumn("block", F.lit(0))
-    else:
-        cut = F.coalesce(F.try_element_at(blocks, F.col("leaf")), F.lit(1))
-        probes = entries.filter("probe").withColumn("block", F.pmod(F.xxhash64("key"), cut).cast("int"))
-        entries = probes.unionByName(entries.filter("not probe").withColumn("block", F.explode(F.sequence(F.lit(0), (cut - 1).cast("int")))))
+    def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"leaf": shared.value.leaf_of(f["lat"].to_numpy(), f["lon"].to_numpy())})
+
+    # Leaves with more rows than a task should take: at most one of BLOCK rows is such a leaf, so their table is broadcast.
+    count = lambda df, name: df.mapInPandas(leaves, "leaf long").groupBy("leaf").agg(F.count(F.lit(1)).alias(name))
+    crowd = count(points, "p").join(count(others, "o"), "leaf", "full").select("leaf", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("o", F.lit(0)).alias("o"))
+    cuts = crowd.select("leaf", F.greatest(F.ceil(F.col("p") / BLOCK), F.lit(1)).cast("int").alias("of_probes"), F.greatest(F.ceil((F.col("p") + F.col("o")) / BLOCK), F.lit(1)).cast("int").alias("of_entries")).filter("of_entries > 1")
+    cut = entries.join(F.broadcast(cuts), "leaf", "left").withColumn("of_probes", F.coalesce("of_probes", F.lit(1))).withColumn("of_entries", F.coalesce("of_entries", F.lit(1)))
+    # A probe goes to its own block, against every block of entries, and an entry the other way round.
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    one = lambda c: F.array(F.pmod(F.xxhash64("key", "lat", "lon"), F.col(c)).cast("int"))
+    placed = cut.withColumn("probes", F.explode(F.when(F.col("probe"), one("of_probes")).otherwise(every("of_probes"))))
+    placed = placed.withColumn("block", F.explode(F.when(F.col("probe"), every("of_entries")).otherwise(one("of_entries")))).drop("of_probes", "of_entries")
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows[rows["probe"]]
@@ -241,6 +267,6 @@ def nearby(points: DataFrame, others: DataFrame, areas: DataFrame, metres: float
                 reference = (k[flat] != "point") | (own[p[flat]] < key[e[flat]])
                 keep[np.nonzero(flat)[0][close & reference]] = True
                 out.append(pd.DataFrame({"kind": k[keep], "key_a": own[p[keep]], "key_b": key[e[keep]]}))
-        return pd.concat(out) if out else pd.DataFrame({"kind": [], "key_a": [], "key_b": []})
+        return pd.concat(out) if out else pd.DataFrame(columns=["kind", "key_a", "key_b"], dtype=object)
 
-    return entries.groupBy("leaf", "block").applyInPandas(join, "kind string, key_a string, key_b string")
+    return placed.groupBy("leaf", "probes", "block").applyInPandas(join, "kind string, key_a string, key_b string")

@@ -15,7 +15,7 @@ def pairs(spark, points, others=(), areas=(), metres=50.0):
 
 def test_random_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(spatial, "BLOCK", 100)
-    monkeypatch.setattr(spatial, "LEAF_SAMPLE", 20)
+    monkeypatch.setattr(spatial, "LEAST_LEAF", 20)
     rng = np.random.default_rng(1)
     centres = np.stack([rng.uniform(-89.9, 89.9, 30), rng.uniform(-180, 180, 30)], 1)
     centres[:6] = [[89.9999, 10], [-89.9999, -170], [0, 179.9999], [0, -179.9999], [45, 180.0], [45, -180.0]]
@@ -66,6 +66,41 @@ def test_rtree_finds_all_overlaps():
 
 def test_leaves_cover_the_world_once():
     rng = np.random.default_rng(3)
-    tree = Quadtree.of_sample(rng.normal(48, 1, 5000), rng.normal(11, 1, 5000), 100)
+    tree = Quadtree.of_sample(rng.normal(48, 1, 5000), rng.normal(11, 1, 5000), 100, 17)
     assert tree.start[0] == 0 and (np.diff(tree.start) > 0).all()
     assert len(tree.touched(-90, -180, 90, 180)) == len(tree.start)
+
+
+@pytest.mark.parametrize("metres", [0.5, 50.0, 5_000.0, 3_000_000.0])
+def test_any_reach(spark, metres, monkeypatch):
+    monkeypatch.setattr(spatial, "LEAST_LEAF", 10)
+    rng = np.random.default_rng(4)
+    far = np.degrees(metres / 6_371_000.0)
+    centres = np.stack([rng.uniform(-88, 88, 12), rng.uniform(-180, 180, 12)], 1)
+    centres[:3] = [[80.5, 1], [89.99, 0], [-75, 179.99]]
+    at = centres[rng.integers(0, 12, 250)] + rng.normal(0, far, (250, 2))
+    at[:, 0] = np.clip(at[:, 0], -90, 90)
+    at[:, 1] = (at[:, 1] + 180) % 360 - 180
+    d = great_circle(at[:, None, 0], at[:, None, 1], at[None, :, 0], at[None, :, 1])
+    want = {("point", f"p{i:03d}", f"p{j:03d}") for i in range(250) for j in range(i + 1, 250) if d[i, j] <= metres}
+    assert pairs(spark, [(f"p{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(at)], metres=metres) == want and len(want) > 250
+
+
+def test_a_crowded_spot_is_cut_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BLOCK", 60)
+    rng = np.random.default_rng(5)
+    at = np.array([48.0, 11.0]) + rng.normal(0, 4e-4, (400, 2))
+    d = great_circle(at[:, None, 0], at[:, None, 1], at[None, :, 0], at[None, :, 1])
+    want = {("point", f"p{i:03d}", f"p{j:03d}") for i in range(400) for j in range(i + 1, 400) if d[i, j] <= 50}
+    want |= {("other", f"p{i:03d}", "o") for i in range(400) if great_circle(at[i, 0], at[i, 1], 48.0, 11.0) <= 50}
+    assert pairs(spark, [(f"p{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(at)], [("o", 48.0, 11.0)]) == want
+
+
+def test_leaves_grow_with_the_points():
+    rng = np.random.default_rng(6)
+    load = []
+    for n in (20_000, 200_000):
+        lat, lon = rng.normal(48, 0.5, n), rng.normal(11, 0.5, n)
+        tree = Quadtree.of_sample(lat[::10], lon[::10], 50, spatial.depth_for(50))
+        load.append(np.bincount(tree.leaf_of(lat, lon)).max())
+    assert max(load) < 1_500
