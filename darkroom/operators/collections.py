@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 from datetime import date, timedelta
@@ -76,6 +77,41 @@ class CollectionFilter:
     days: tuple[date | None, date | None] = field(default=(None, None))
 
 
+def parse_filter(text: str) -> CollectionFilter:
+    """A stored filter (JSON, schema version 1 or 2) as a CollectionFilter.
+
+    Version 1 had no location: a tag below the root of places was one, and moves there.
+    """
+    stored = json.loads(text)
+    if stored.get("schemaVersion") not in (1, 2):
+        raise ValueError("a filter needs schema version 1 or 2")
+    for match in ("peopleMatch", "tagMatch"):
+        if stored.get(match, "any") not in ("any", "all"):
+            raise ValueError(f"{match} must be any or all")
+    where, tags = stored.get("location") or {}, list(stored.get("tags") or [])
+    place = where.get("place")
+    if stored["schemaVersion"] == 1:
+        below = [x for x in tags if x.lower().startswith(PLACES + "/")]
+        if len(below) > 1 or (below and place):
+            raise ValueError("a filter has one place")
+        place, tags = place or (below[0].lower() if below else None), [x for x in tags if x not in below]
+    edges = [where.get(k) for k in ("south", "west", "north", "east")]
+    if any(e is not None for e in edges) and None in edges:
+        raise ValueError("a box needs four edges")
+    days = tuple(date.fromisoformat(d) if d else None for d in ((stored.get("taken") or {}).get(k) for k in ("from", "to")))
+    if None not in days and days[1] < days[0]:
+        raise ValueError("the range ends before it starts")
+    return CollectionFilter(tuple(dict.fromkeys(stored.get("people") or [])), stored.get("peopleMatch") == "all", tuple(dict.fromkeys(tags)), stored.get("tagMatch") == "all", place, None if None in edges else tuple(edges), days)
+
+
+def dump_filter(wanted: CollectionFilter) -> str:
+    """The JSON (schema version 2) that ``parse_filter`` reads back."""
+    where = {"place": wanted.place, **dict(zip(("south", "west", "north", "east"), wanted.box or (None,) * 4))}
+    match = lambda every: "all" if every else "any"
+    days = {k: d.isoformat() if d else None for k, d in zip(("from", "to"), wanted.days)}
+    return json.dumps({"schemaVersion": 2, "people": list(wanted.people), "peopleMatch": match(wanted.every_person), "tags": list(wanted.tags), "tagMatch": match(wanted.every_tag), "location": where, "taken": days})
+
+
 def collect(photos: DataFrame, people: DataFrame, tags: DataFrame, places: DataFrame, wanted: CollectionFilter) -> DataFrame:
     """Photos (asset_revision_id, taken_local, latitude, longitude, ...) that meet every dimension that is asked.
 

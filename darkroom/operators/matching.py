@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values of exemplars (rows x dimensions) that a broadcast may hold: 256 MB of float64.
-MOST_BROADCAST = 32_000_000
-#: Exemplars of a block beyond that bound.
-BLOCK = 20_000
+#: Exemplars of a block and targets of a chunk that one task multiplies.
+BLOCK, CHUNK = 16_384, 4_096
 
 
 def best_people(targets: DataFrame, exemplars: DataFrame, rejected: DataFrame | None = None, keep: int = 2) -> DataFrame:
@@ -25,54 +21,59 @@ def best_people(targets: DataFrame, exemplars: DataFrame, rejected: DataFrame |
     ranks and null where there is one person only. Null vectors and vectors of
     length 0 match nothing; vectors must have one dimension.
 
-    Products of float32 numbers are summed as float64 by a matrix product of
-    blocks. Exemplars within MOST_BROADCAST are broadcast once; more are cut into
-    blocks, each meeting all targets, and the best per face are merged.
+    Exemplars are hashed into blocks row by row, so a person with very many
+    exemplars is spread over all of them, and targets into chunks; a task
+    multiplies one block with one chunk (float32 numbers, summed as float64) and
+    sends on the best people of each face only. A person among the best of all
+    is among the best of the block that holds its best exemplar. A face with r
+    rejected people sends r more, so that enough are left.
     """
-    spark = targets.sparkSession
-    given = exemplars.select(F.col("person_id").cast("string").alias("person_id"), "vector").filter("vector is not null and size(vector) > 0")
+    given = exemplars.select(F.col("person_id").cast("string").alias("person_id"), "vector").filter("person_id is not null and vector is not null and size(vector) > 0")
+    faces = targets.select("face_id", "vector").filter("face_id is not null and vector is not null and size(vector) > 0")
     shape = given.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d"), F.min(F.size("vector")).alias("least")).first()
     if shape["n"] and shape["d"] != shape["least"]:
         raise ValueError("exemplars differ in their dimensions")
-    pairs = None if rejected is None else rejected.select("face_id", F.col("person_id").cast("string").alias("person_id")).distinct()
-    blocks = 1 if shape["n"] * (shape["d"] or 1) <= MOST_BROADCAST else -(-shape["n"] // BLOCK)
-    faces = targets.select("face_id", "vector").filter("vector is not null and size(vector) > 0")
+    blocks, chunks = max(1, -(-shape["n"] // BLOCK)), max(1, -(-faces.count() // CHUNK))
+    pairs = None
+    faces = faces.withColumn("more", F.lit(0).cast("long"))
+    if rejected is not None:
+        pairs = rejected.select("face_id", F.col("person_id").cast("string").alias("person_id")).distinct()
+        faces = faces.drop("more").join(pairs.groupBy("face_id").agg(F.count(F.lit(1)).alias("more")), "face_id", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = given.select(F.col("person_id").alias("e_person"), F.col("vector").alias("e_vector"), F.pmod(F.xxhash64("person_id", "vector"), F.lit(blocks)).cast("int").alias("e_block"), every(chunks).alias("e_chunk"))
+    asks = faces.select("face_id", "vector", "more", F.pmod(F.xxhash64("face_id"), F.lit(chunks)).cast("int").alias("chunk"), every(blocks).alias("block"))
     kind = dict(faces.dtypes)["face_id"]
-    parts = [given] if blocks == 1 else [given.filter(F.pmod(F.xxhash64("person_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    scored = None
-    for part in parts:
-        rows = part.toPandas()
-        people, code = np.unique(rows["person_id"].to_numpy(dtype=str), return_inverse=True) if len(rows) else (np.zeros(0, str), np.zeros(0, int))
-        matrix = np.stack(rows["vector"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 1))
-        norm = np.sqrt((matrix * matrix).sum(axis=1))
-        order = np.argsort(code, kind="stable")
-        order = order[norm[order] > 0]
-        shared = spark.sparkContext.broadcast((people, code[order], matrix[order], norm[order]))
 
-        def score(frames: Iterator[pd.DataFrame], shared=shared, whole: bool = pairs is not None) -> Iterator[pd.DataFrame]:
-            names, own, m, length = shared.value
-            starts = np.nonzero(np.diff(own, prepend=-1))[0]
-            for frame in frames:
-                if not len(frame) or not len(own):
-                    continue
-                t = np.stack(frame["vector"].to_numpy()).astype(np.float64)
-                with np.errstate(all="ignore"):
-                    cos = (t @ m.T) / np.sqrt((t * t).sum(axis=1))[:, None] / length
-                best = np.maximum.reduceat(cos, starts, axis=1)
-                ok = np.isfinite(best)
-                if not whole:
-                    # Only the best can count, so no more leave the block; ties keep the smaller name.
-                    rank = np.argsort(-np.where(ok, best, -np.inf), axis=1, kind="stable")[:, :keep]
-                    row = np.repeat(np.arange(len(t)), rank.shape[1])
-                    col = rank.ravel()
-                else:
-                    row, col = np.nonzero(ok)
-                good = ok[row, col]
-                row, col = row[good], col[good]
-                yield pd.DataFrame({"face_id": frame["face_id"].to_numpy()[row], "person_id": names[own[starts]][col], "score": best[row, col]})
+    def score(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own) and len(known):
+            m = np.stack(known["e_vector"].to_numpy()).astype(np.float64)
+            people, code = np.unique(known["e_person"].to_numpy(dtype=str), return_inverse=True)
+            length = np.sqrt((m * m).sum(axis=1))
+            order = np.argsort(code, kind="stable")
+            order = order[length[order] > 0]
+            if len(order):
+                m, length, code = m[order], length[order], code[order]
+                starts = np.nonzero(np.diff(code, prepend=-1))[0]
+                names, ids, more = people[code[starts]].astype(object), own["face_id"].to_numpy(), own["more"].to_numpy()
+                for b in range(0, len(own), 512):
+                    t = np.stack(own["vector"].iloc[b : b + 512].to_numpy()).astype(np.float64)
+                    with np.errstate(all="ignore"):
+                        cos = (t @ m.T) / np.sqrt((t * t).sum(axis=1))[:, None] / length
+                    best = np.maximum.reduceat(cos, starts, axis=1)
+                    ok = np.isfinite(best)
+                    # Ties keep the smaller name: the columns are in the order of names.
+                    ranked = np.argsort(-np.where(ok, best, -np.inf), axis=1, kind="stable")
+                    wanted = np.arange(ranked.shape[1])[None, :] < keep + more[b : b + 512, None]
+                    row, place = np.nonzero(wanted)
+                    col = ranked[row, place]
+                    good = ok[row, col]
+                    row, col = row[good], col[good]
+                    out.append(pd.DataFrame({"face_id": ids[b + row], "person_id": names[col], "score": best[row, col]}))
+        return pd.concat(out) if out else pd.DataFrame({"face_id": pd.Series(dtype=object), "person_id": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
 
-        out = faces.mapInPandas(score, f"face_id {kind}, person_id string, score double")
-        scored = out if scored is None else scored.unionByName(out)
+    scored = asks.groupBy("block", "chunk").cogroup(rows.groupBy("e_block", "e_chunk")).applyInPandas(score, f"face_id {kind}, person_id string, score double")
+    scored = scored.groupBy("face_id", "person_id").agg(F.max("score").alias("score"))
     if pairs is not None:
         scored = scored.join(pairs, ["face_id", "person_id"], "left_anti")
     w = Window.partitionBy("face_id").orderBy(F.desc("score"), "person_id")
