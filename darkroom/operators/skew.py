@@ -24,14 +24,17 @@ def hot_keys(df: DataFrame, key: str) -> list:
     return [r[0] for r in rows if r["n"] > total * HOT_SHARE]
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None, rows: int | None = None) -> DataFrame:
     """``left`` joined on ``key`` with ``right``, where ``right`` has one row a key.
 
     Rows of hot keys are joined with a broadcast of those keys' rows of ``right``
     (fewer than 1/HOT_SHARE, as each key has one row); the others are shuffled.
-    ``hot`` gives the hot keys where the caller knows them already.
+    ``hot`` gives the hot keys where the caller knows them already. Without it
+    they are counted at once, so ``left`` should be a table or a cheap plan;
+    not where ``rows``, the most rows that ``left`` can have, is too few for any.
     """
-    hot = hot_keys(left, key) if hot is None else hot
+    if hot is None:
+        hot = [] if rows is not None and rows <= HOT_ROWS else hot_keys(left, key)
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.functions.guid import guid
-from darkroom.operators.hierarchy import ancestor_paths, descendant_pairs, hierarchy
+from darkroom.operators.hierarchy import descendant_pairs, hierarchy, tree_paths
 from darkroom.operators.instants import estimate_instants, resolve_instants
 from darkroom.operators.spatial import nearby
 from darkroom.plans.staging import Staging
@@ -19,6 +19,10 @@ def _tree(spark: SparkSession, base: str) -> DataFrame:
     return hierarchy(read_table(spark, base, "people"), guid("id"), guid("merged_into_person_id"), Staging(spark, "p3"))
 
 
+def _staged_tree(spark: SparkSession, base: str) -> DataFrame:
+    return Staging(spark, "p3t").save(_tree(spark, base))
+
+
 def p1_estimated(spark: SparkSession, base: str) -> DataFrame:
     """Instants of the photos whose row determines none but has a wall clock, by the offset history of its country and import month.
 
@@ -40,16 +44,15 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p3_hierarchy(spark: SparkSession, base: str) -> DataFrame:
-    """Every person with its path, depth, final person, number of people merged into it, and whether it's in a circle."""
-    paths = ancestor_paths(read_table(spark, base, "people"), guid("id"), guid("merged_into_person_id"), Staging(spark, "p3p"))
-    tree = _tree(spark, base).join(paths, "v")
-    return tree.select(F.col("v").alias("person_id"), F.col("root").alias("root_person_id"), "depth", F.array_join(F.reverse("path"), "/").alias("path"), "descendants", "in_cycle")
+    """Every person with its path from the final person, depth, number of people merged into it, whether it's in a circle, and its interval: those merged into it have theirs within it."""
+    tree = _staged_tree(spark, base)
+    paths = tree_paths(tree).select("v", F.array_join("path", "/").alias("path"))
+    return tree.join(paths, "v").select(F.col("v").alias("person_id"), F.col("root").alias("root_person_id"), "depth", "path", "descendants", "in_cycle", F.col("tree").alias("tree_id"), "entry", "exit")
 
 
 def p3_descendants(spark: SparkSession, base: str) -> DataFrame:
     """Every person with each person that was merged into it, directly or through others."""
-    paths = ancestor_paths(read_table(spark, base, "people"), guid("id"), guid("merged_into_person_id"), Staging(spark, "p3d"))
-    return descendant_pairs(paths).select(F.col("v").alias("person_id"), F.col("descendant").alias("merged_person_id"))
+    return descendant_pairs(tree_paths(_staged_tree(spark, base))).select(F.col("v").alias("person_id"), F.col("descendant").alias("merged_person_id"))
 
 
 def p1_instants(spark: SparkSession, base: str) -> DataFrame:
@@ -101,4 +104,8 @@ ends AS (SELECT v, max(depth) AS depth, bool_or(circle) AS circle FROM walk GROU
 SELECT e.v AS person_id, CASE WHEN e.circle THEN list_min(list_slice(w.seen, list_position(w.seen, w.seen[-1]), len(w.seen) - 1)) ELSE w.at END AS root_person_id,
        CASE WHEN e.circle THEN -1 ELSE e.depth END AS depth
 FROM ends e JOIN walk w ON w.v = e.v AND w.depth = e.depth""",
+        "p3_descendants": walk + """,
+-- On a circle nobody lies below another; a tree that hangs on it ends at the circle.
+loops AS (SELECT DISTINCT w.v FROM walk w WHERE w.at = w.v)
+SELECT DISTINCT w.at AS person_id, w.v AS merged_person_id FROM walk w WHERE w.v NOT IN (SELECT v FROM loops) AND NOT EXISTS (SELECT 1 FROM loops l WHERE list_contains(w.seen, l.v))""",
     }

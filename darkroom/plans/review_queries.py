@@ -307,7 +307,7 @@ def favourites_upsert(spark: SparkSession, base: str) -> DataFrame:
     return r.insert_where(known, moved(rows.filter("status = 'pending'")), ["person_id"], moved(now.filter("kind = 'assign'")), moved(now.filter("face_id % 3000 = 7")))
 
 
-@query(f"WITH {_CTE} SELECT face_id, id, kind, "at" FROM log WHERE face_id = 4242")
+@query(f"WITH {_CTE} SELECT face_id, id, kind, log.at FROM log WHERE face_id = 4242")
 def point_lookup(spark: SparkSession, base: str) -> DataFrame:
     """One face's log by key: the key reaches the scan as a pushed filter."""
     rows = t(spark, base, "lineitem").filter("l_orderkey = 4242 and l_linenumber >= 4")

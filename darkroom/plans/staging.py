@@ -11,7 +11,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _roots: list[tuple[SparkSession, str]] = []
 
@@ -34,6 +35,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def _sweep() -> None:
+    """Deletes what this process has staged; in a long session ``Staging.close`` does so earlier."""
     for spark, root in _roots:
         try:
             _delete(spark, root)
@@ -51,18 +53,25 @@ class Staging:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
         _roots.append((spark, self.root))
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the table that was written."""
+        return self.observed(df)[0]
+
+    def observed(self, df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+        """Write ``df``; the table that was written, and its number of ``rows`` and ``measures``, which the write itself counts."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}"
-        df.write.parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in measures.items()]).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._staged_at = path  # type: ignore[attr-defined]
-        return out
+        return out, seen.get
+
+    def close(self) -> None:
+        """Delete all tables of this run, where no plan reads them any more."""
+        _delete(self.spark, self.root)
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that no later plan reads."""

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from darkroom.functions.guid import guid
-from darkroom.operators.hierarchy import ancestor_paths, descendant_pairs, hierarchy
+from darkroom.operators.hierarchy import descendant_pairs, hierarchy, rank_lists, tree_paths
 
 SCHEMA = "id string, up string, v string, p string"
 
@@ -64,16 +64,39 @@ def test_many_children_self_link_nulls_and_repeats(spark, staging):
 
 
 def test_paths_and_descendants(spark, staging):
-    df = spark.createDataFrame([("a", "b", "", ""), ("b", "c", "", ""), ("c", None, "", ""), ("x", "y", "", ""), ("y", "x", "", "")], SCHEMA)
-    paths = ancestor_paths(df, F.col("id"), F.col("up"), staging)
-    assert {r["v"]: r["path"] for r in paths.collect()} == {"a": ["a", "b", "c"], "b": ["b", "c"], "c": ["c"], "x": ["x"], "y": ["y"]}
-    assert {(r["v"], r["descendant"]) for r in descendant_pairs(paths).collect()} == {("b", "a"), ("c", "a"), ("c", "b")}
+    df = spark.createDataFrame([("a", "b", "", ""), ("b", "c", "", ""), ("c", None, "", ""), ("x", "y", "", ""), ("y", "x", "", ""), ("z", "y", "", "")], SCHEMA)
+    paths = tree_paths(hierarchy(df, F.col("id"), F.col("up"), staging))
+    assert {r["v"]: r["path"] for r in paths.collect()} == {"a": ["c", "b", "a"], "b": ["c", "b"], "c": ["c"], "x": ["x"], "y": ["y"], "z": ["y", "z"]}
+    assert {(r["v"], r["descendant"]) for r in descendant_pairs(paths).collect()} == {("b", "a"), ("c", "a"), ("c", "b"), ("y", "z")}
+
+
+def test_paths_over_many_stretches(spark, staging, monkeypatch):
+    from darkroom.operators import hierarchy as h
+
+    monkeypatch.setattr(h, "STRETCH", 8)
+    monkeypatch.setattr(h, "BUCKET", 40)
+    rng = random.Random(5)
+    links = {0: None} | {i: rng.choice([max(0, i - 1), rng.randrange(i)]) for i in range(1, 300)}
+    df = spark.createDataFrame([(f"n{k:03d}", None if v is None else f"n{v:03d}", "", "") for k, v in links.items()], SCHEMA)
+    got = {r["v"]: r["path"] for r in tree_paths(staging.save(hierarchy(df, F.col("id"), F.col("up"), staging))).collect()}
+    for i in links:
+        chain = [i]
+        while links[chain[-1]] is not None:
+            chain.append(links[chain[-1]])
+        assert got[f"n{i:03d}"] == [f"n{x:03d}" for x in reversed(chain)]
+
+
+def test_contracted_lists_rank_as_others_do(spark, staging):
+    arcs = [(f"{k}-{i:04d}", f"{k}-{i + 1:04d}" if i < n - 1 else None, 1 if i % 3 else -1, 1, None if i < n - 1 else str(k)) for k, n in enumerate((1, 2, 40, 900)) for i in range(n)]
+    df = spark.createDataFrame(arcs, "a string, s string, w long, c long, r string")
+    ranked = lambda contract: sorted(tuple(r) for r in rank_lists(df, staging, contract).select("a", "w", "c", "r").collect())
+    assert ranked(10) == ranked(10_000) and len(ranked(10)) == 943 and ranked(10)[-900][2] == 900
 
 
 def test_empty(spark, staging):
     empty = spark.createDataFrame([], SCHEMA)
     assert hierarchy(empty, F.col("id"), F.col("up"), staging).count() == 0
-    assert ancestor_paths(empty, F.col("id"), F.col("up"), staging).count() == 0
+    assert tree_paths(staging.save(hierarchy(empty, F.col("id"), F.col("up"), staging))).count() == 0
 
 
 def test_guid_writings(spark):
