@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions.guid import guid
 from darkroom.operators.hierarchy import descendant_pairs, hierarchy, tree_paths
-from darkroom.operators.instants import estimate_instants, resolve_instants
+from darkroom.operators.instants import estimate_instants, recovery, resolve_instants
 from darkroom.operators.spatial import nearby
 from darkroom.plans.staging import Staging
 from darkroom.sources.tables import read_table
@@ -23,21 +23,33 @@ def _staged_tree(spark: SparkSession, base: str) -> DataFrame:
     return Staging(spark, "p3t").save(_tree(spark, base))
 
 
-def p1_estimated(spark: SparkSession, base: str) -> DataFrame:
-    """Instants of the photos whose row determines none but has a wall clock, by the offset history of its country and import month.
-
-    An estimate, kept apart from p1_found.
-    """
+def _dated(spark: SparkSession, base: str) -> DataFrame:
+    """Rows with a wall clock, their instant where they determine one, and the band of longitude that stands for a camera."""
     meta = read_table(spark, base, "photo_capture_metadata").distinct()
-    read = resolve_instants(meta.withColumn("row", F.concat_ws(" ", F.col("asset_revision_id"), F.unix_micros("extracted_at"))), "row", "taken_at_local", "utc_offset_minutes", "capture_zone")
+    row = F.concat_ws(" ", F.col("asset_revision_id"), F.unix_micros("extracted_at"))
+    read = resolve_instants(meta.withColumn("row", row), "row", "taken_at_local", "utc_offset_minutes", "capture_zone")
     # The nearest thing to a camera in these tables is the hour's band of longitude in which a photo was taken.
     band = F.when(F.col("longitude").between(-180, 180), F.floor(F.col("longitude") / 15)).otherwise(F.lit(99)).cast("int")
-    sources = meta.select(F.concat_ws(" ", F.col("asset_revision_id"), F.unix_micros("extracted_at")).alias("row"), "asset_revision_id", "extracted_at", band.alias("band"))
-    rows = read.filter("local_s is not null").join(sources, "row").withColumn("known_s", F.floor(F.col("utc_ms") / 1000)).select("asset_revision_id", "extracted_at", "band", "local_s", "sub_ms", "known_s")
+    sources = meta.select(row.alias("row"), "asset_revision_id", "extracted_at", band.alias("band"))
+    return read.filter("local_s is not null").join(sources, "row").withColumn("known_s", F.floor(F.col("utc_ms") / 1000)).select("row", "asset_revision_id", "extracted_at", "band", "local_s", "sub_ms", "known_s")
+
+
+def p1_estimated(spark: SparkSession, base: str) -> DataFrame:
+    """Instants of the photos whose row determines none but has a wall clock, by the offset history of its band of longitude and month of import.
+
+    An estimate, kept apart from p1_found; p1_recovery measures it.
+    """
+    rows = Staging(spark, "p1").save(_dated(spark, base))
     est = estimate_instants(rows, "band", "extracted_at", 30 * 86_400).filter("known_s is null and est_s is not null")
     return est.groupBy("asset_revision_id").agg(F.min(F.col("est_s") * 1000 + F.col("sub_ms")).alias("taken_utc_ms"))
 
 
+def p1_recovery(spark: SparkSession, base: str) -> DataFrame:
+    """How many known instants the estimate gives back, if one in ten is hidden."""
+    rows = Staging(spark, "p1r").save(_dated(spark, base))
+    return recovery(rows, "band", "extracted_at", 30 * 86_400, "row")
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     """Root and depth of every person whose link leads to a person that exists."""
     return _tree(spark, base).filter("parent is not null").select(F.col("v").alias("person_id"), F.col("root").alias("root_person_id"), "depth")
@@ -76,7 +88,7 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_instants": p1_instants, "p1_estimated": p1_estimated, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_instants": p1_instants, "p1_estimated": p1_estimated, "p1_recovery": p1_recovery, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p6_found": p6_found}
 
 
 _LINKS = r"""links AS (
