@@ -1,7 +1,9 @@
 """Filling containers of fixed capacity with documents, by a grouping genetic algorithm on islands.
 
-Documents are hashed into blocks; ISLANDS islands evolve packings of each block
-from different seeds and pass their best packing on to the next island of the
+Documents are hashed into blocks. The first packing of a block is best-fit
+decreasing; where that takes no more containers than the block's total needs
+there is nothing to improve and the block is done. ISLANDS islands evolve
+packings of every other block from different seeds and pass their best packing on to the next island of the
 block after every epoch. Crossover injects whole, well filled containers of one
 parent into the other, removes those that hold a document twice, and puts the
 displaced documents back by best fit. The containers that a block couldn't fill
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 from darkroom.plans.staging import Staging
 
 #: Documents of a block, islands of a block, epochs between migrations, and generations of an epoch.
-BLOCK, ISLANDS, EPOCHS, GENERATIONS = 4_000, 2, 2, 16
+BLOCK, ISLANDS, EPOCHS, GENERATIONS = 4_000, 4, 4, 30
 #: Packings of an island.
-POPULATION = 4
+POPULATION = 10
 #: A container that is filled less than this goes into the next round.
 FULL = 0.995
 #: Rounds over ever fewer blocks.
@@ -112,9 +114,18 @@ def evolve(sizes: np.ndarray, capacity: int, rng: np.random.Generator, generatio
 
 def _round(items: DataFrame, blocks: int, capacity: int, number: int, staging: Staging, seed: int) -> DataFrame:
     """(key, part, size, block, bin, fill): one round of packing over ``blocks`` blocks."""
-    state = items.withColumn("block", F.pmod(F.xxhash64("key", "part", F.lit(number)), F.lit(blocks))).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).withColumn("own", F.lit(None).cast("long")).withColumn("guest", F.lit(None).cast("long"))
     schema = "key long, part long, size long, block long, island int, own long, guest long, fill long, bins long, least long, evenness double"
 
+    def row(rows: pd.DataFrame, sizes: np.ndarray, best: Packing) -> pd.DataFrame:
+        bins, evenness = best.score(capacity)
+        out = rows.assign(own=best.where, guest=pd.array([None] * len(rows), dtype="Int64"), fill=best.fill[best.where], bins=-bins, least=-(-int(sizes.sum()) // capacity), evenness=evenness)
+        return out[["key", "part", "size", "block", "island", "own", "guest", "fill", "bins", "least", "evenness"]]
+
+    def plain(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "part"], ignore_index=True)
+        sizes = rows["size"].to_numpy(dtype=np.int64)
+        return row(rows.assign(island=0), sizes, packed(sizes, capacity, np.argsort(-sizes, kind="stable")))
+
     def task(epoch: int):  # noqa: ANN202
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values(["key", "part"], ignore_index=True)
@@ -125,22 +136,31 @@ def _round(items: DataFrame, blocks: int, capacity: int, number: int, staging: S
                 if rows[c].notna().all():
                     where = rows[c].to_numpy(dtype=np.int64)
                     start.append(Packing(where, np.bincount(where, weights=sizes).astype(np.int64)))
-            best = evolve(sizes, capacity, rng, GENERATIONS, start)
-            bins, evenness = best.score(capacity)
-            out = rows.assign(own=best.where, guest=pd.array([None] * len(rows), dtype="Int64"), fill=best.fill[best.where], bins=-bins, least=-(-int(sizes.sum()) // capacity), evenness=evenness)
-            return out[["key", "part", "size", "block", "island", "own", "guest", "fill", "bins", "least", "evenness"]]
+            return row(rows, sizes, evolve(sizes, capacity, rng, GENERATIONS, start))
 
         return run
 
-    for epoch in range(EPOCHS):
-        done = staging.save(state.groupBy("block", "island").applyInPandas(task(epoch), schema))
-        if epoch == EPOCHS - 1 or not done.filter("bins > least").limit(1).count():
-            break
-        # Elites migrate: each island meets the best packing of the island before it.
-        guests = done.select("key", "part", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), F.col("own").alias("guest"))
-        state = done.select("key", "part", "size", "block", "island", "own").join(guests, ["key", "part", "island"])
-    ranks = done.groupBy("block").agg(F.min_by("island", F.struct("bins", -F.col("evenness"), "island")).alias("island"))
-    return done.join(ranks, ["block", "island"]).select("key", "part", "size", "block", F.col("own").alias("bin"), "fill")
+    blocked = items.withColumn("block", F.pmod(F.xxhash64("key", "part", F.lit(number)), F.lit(blocks)))
+    first, seen = staging.observed(blocked.groupBy("block").applyInPandas(plain, schema), open=F.count_if(F.col("bins") > F.col("least")))
+    columns = ["key", "part", "size", "block", F.col("own").alias("bin"), "fill"]
+    settled, open_ = first, seen["open"]
+    parts = []
+    if open_:
+        settled = first.filter("bins <= least")
+        state = first.filter("bins > least").select("key", "part", "size", "block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "own", "guest")
+        for epoch in range(EPOCHS):
+            done, seen = staging.observed(state.groupBy("block", "island").applyInPandas(task(epoch), schema), open=F.count_if(F.col("bins") > F.col("least")))
+            if epoch == EPOCHS - 1 or not seen["open"]:
+                break
+            # Elites migrate: each island meets the best packing of the island before it.
+            guests = done.select("key", "part", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), F.col("own").alias("guest"))
+            state = done.select("key", "part", "size", "block", "island", "own").join(guests, ["key", "part", "island"])
+        ranks = done.groupBy("block").agg(F.min_by("island", F.struct("bins", -F.col("evenness"), "island")).alias("island"))
+        parts.append(done.join(ranks, ["block", "island"]).select(*columns))
+    out = settled.select(*columns)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 def pack_documents(sizes: DataFrame, key: str, size: str, capacity: int, staging: Staging, seed: int = 5) -> DataFrame:
@@ -154,22 +174,39 @@ def pack_documents(sizes: DataFrame, key: str, size: str, capacity: int, staging
     rows = sizes.select(F.col(key).cast("long").alias("key"), F.col(size).cast("long").alias("size")).filter("key is not null")
     empty = rows.filter("size is null or size <= 0").select("key", F.lit(0).cast("long").alias("part"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.lit(None).cast("string").alias("container"))
     parts = rows.filter("size > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / capacity))))
-    parts = staging.save(parts.select("key", "part", F.least(F.col("size") - F.col("part") * capacity, F.lit(capacity)).cast("long").alias("size")))
+    parts, seen = staging.observed(parts.select("key", "part", F.least(F.col("size") - F.col("part") * capacity, F.lit(capacity)).cast("long").alias("size")), items=F.count_if(F.col("size") - F.col("part") * capacity < capacity))
     whole = parts.filter(F.col("size") == capacity).select("key", "part", "size", F.concat_ws("-", F.lit("w"), "key", "part").alias("container"))
-    items, out = parts.filter(F.col("size") < capacity), [empty, whole]
+    items, out, n = parts.filter(F.col("size") < capacity), [empty, whole], seen["items"]
     for number in range(ROUNDS):
-        n = items.count()
         if not n:
             break
         blocks = -(-n // BLOCK)
-        placed = staging.save(_round(items, blocks, capacity, number, staging, seed))
+        placed, seen = staging.observed(_round(items, blocks, capacity, number, staging, seed), loose=F.count_if(F.col("fill") < FULL * capacity))
         last = number == ROUNDS - 1 or blocks == 1
         settled = placed if last else placed.filter(F.col("fill") >= FULL * capacity)
         out.append(settled.select("key", "part", "size", F.concat_ws("-", F.lit(f"r{number}"), "block", "bin").alias("container")))
         if last:
             break
-        items = placed.filter(F.col("fill") < FULL * capacity).select("key", "part", "size")
+        items, n = placed.filter(F.col("fill") < FULL * capacity).select("key", "part", "size"), seen["loose"]
     result = out[0]
     for o in out[1:]:
         result = result.unionByName(o)
     return result.withColumnRenamed("key", key)
+
+
+def packing_summary(sizes: DataFrame, key: str, size: str, capacity: int, staging: Staging) -> DataFrame:
+    """(documents, parts, containers, best_fit, least, empty): containers used, those of best-fit decreasing without islands or further rounds, the fewest possible, and the part of the space that stays empty."""
+    packed_ = staging.save(pack_documents(sizes, key, size, capacity, staging)).filter("container is not null")
+    fills = packed_.groupBy("container").agg(F.sum("size").alias("fill"))
+    used = fills.agg(F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("fill") / capacity).cast("long").alias("least"), F.round(1 - F.sum("fill") / (F.count(F.lit(1)) * capacity), 6).alias("empty"))
+    items, n = staging.observed(packed_.filter(F.col("size") < capacity).select("size", F.col(key).alias("key"), "part"))
+    blocks = max(1, -(-n["rows"] // BLOCK))
+
+    def plain(rows: pd.DataFrame) -> pd.DataFrame:
+        s = rows["size"].to_numpy(dtype=np.int64)
+        return pd.DataFrame({"bins": [int((packed(s, capacity, np.argsort(-s, kind="stable")).fill > 0).sum())]})
+
+    alone = items.withColumn("block", F.pmod(F.xxhash64("key", "part", F.lit(0)), F.lit(blocks))).groupBy("block").applyInPandas(plain, "bins long").agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("bins"))
+    counts = packed_.agg(F.count_distinct(key).alias("documents"), F.count(F.lit(1)).alias("parts"), F.count_if(F.col("size") == capacity).alias("whole"))
+    # Single rows side by side.
+    return counts.join(F.broadcast(used), F.lit(True)).join(F.broadcast(alone), F.lit(True)).select("documents", "parts", "containers", (F.col("whole") + F.col("bins")).alias("best_fit"), "least", "empty")

@@ -11,9 +11,9 @@ from darkroom.functions.guid import guid
 from darkroom.llm.bpe import count_tokens, encode_documents, tokenizer_path
 from darkroom.llm.clusters import similarity_clusters, typical_faces
 from darkroom.llm.neighbours import most_similar, search
-from darkroom.llm.packing import pack_documents
+from darkroom.llm.packing import pack_documents, packing_summary
 from darkroom.llm.residue import residue_documents
-from darkroom.llm.splits import assign_splits, photo_groups
+from darkroom.llm.splits import assign_splits, photo_groups, reached_shares
 from darkroom.llm.topn import top_n_per_group
 from darkroom.plans.dialect import sql_guid, sql_vectors
 from darkroom.plans.staging import Staging
@@ -56,6 +56,11 @@ def p5_splits(spark: SparkSession, base: str) -> DataFrame:
     return assign_splits(read_table(spark, base, "photo_person_actions"), read_table(spark, base, "split_shares"), "id", "person_id", "asset_revision_id", Staging(spark, "p5s"))
 
 
+def p5_shares(spark: SparkSession, base: str) -> DataFrame:
+    """The share of the records that each split of p5_splits reaches, beside the share that was asked."""
+    return reached_shares(p5_splits(spark, base), read_table(spark, base, "split_shares"))
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     """The members of every cluster of at least three faces that cosines of 0.65 link."""
     members = similarity_clusters(read_table(spark, base, "face_embeddings"), read_table(spark, base, "face_crops"), 0.65, 3, Staging(spark, "p7"))
@@ -78,13 +83,19 @@ def p9_containers(spark: SparkSession, base: str) -> DataFrame:
     return pack_documents(sizes, "doc_id", "tokens", 2048, Staging(spark, "p9"))
 
 
+def p9_summary(spark: SparkSession, base: str) -> DataFrame:
+    """The containers of p9_containers, what best-fit decreasing of whole blocks takes, the fewest there can be, and the part that stays empty."""
+    sizes = count_tokens(read_table(spark, base, "documents"), tokenizer_path("byte_bpe_50k"))
+    return packing_summary(sizes, "doc_id", "tokens", 2048, Staging(spark, "p9s"))
+
+
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     """The documents with residue in place of real content."""
     return residue_documents(read_table(spark, base, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_similar": p2_similar, "p2_every": p2_every, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p7_found": p7_found, "p7_clusters": p7_clusters, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p2_similar": p2_similar, "p2_every": p2_every, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p5_shares": p5_shares, "p7_found": p7_found, "p7_clusters": p7_clusters, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_summary": p9_summary, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,6 +7,8 @@ of the group sizes choose the groups of each split.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,12 @@ PARTS = 64
 
 
 def linked_groups(records: DataFrame, person: str, photo: str, staging: Staging) -> DataFrame:
-    """(person, photo, label): each photo with one of its persons and the smallest person linked with it.
+    """(person, photo, label): each photo with one of its persons and the smallest person linked with it."""
+    return linked_labels(records, person, photo, staging)[0]
+
+
+def linked_labels(records: DataFrame, person: str, photo: str, staging: Staging) -> tuple[DataFrame, DataFrame]:
+    """((person, photo, label), (v, label)): each photo with one of its persons and the smallest person linked with it, and persons that share photos.
 
     GUIDs compare by value; rows without a person or a photo link nothing.
     Only persons take part in the search for components: each photo is replaced
@@ -36,7 +43,7 @@ def linked_groups(records: DataFrame, person: str, photo: str, staging: Staging)
     links = lookup(pairs, several, "photo").filter("person <> first").select(F.col("first").alias("a"), F.col("person").alias("b")).distinct()
     labels = components(links, staging)
     own = photos.select("photo", F.col("first").alias("v"))
-    return lookup(own, labels, "v", "left").select(F.col("v").alias("person"), "photo", F.coalesce("label", "v").alias("label"))
+    return lookup(own, labels, "v", "left").select(F.col("v").alias("person"), "photo", F.coalesce("label", "v").alias("label")), labels
 
 
 def photo_groups(records: DataFrame, person: str, photo: str, least: int, staging: Staging) -> DataFrame:
@@ -64,22 +71,25 @@ def closest_subset(sizes: dict[int, int], target: int) -> dict[int, int]:
             items.append((size, take))
             left -= take
             power *= 2
-    reach, before = 1, []
-    kept = []
-    for size, take in items:
-        w = round(size * take / unit)
-        if w > limit:
-            continue
-        before.append(reach)
-        kept.append((size, take, w))
+    kept = [(size, take, w) for size, take in items if (w := round(size * take / unit)) <= limit]
+    # Only every stride-th bitset is kept; those between are made again on the way back.
+    stride = isqrt(len(kept)) + 1
+    reach, marks = 1, []
+    for n, (_, _, w) in enumerate(kept):
+        if n % stride == 0:
+            marks.append(reach)
         reach |= (reach << w) & mask
     total = next(t for d in range(goal + 1) for t in (goal - d, goal + d) if t >= 0 and reach >> t & 1)
     chosen: dict[int, int] = {}
-    for (size, take, w), old in zip(reversed(kept), reversed(before)):
-        if old >> total & 1:
-            continue
-        chosen[size] = chosen.get(size, 0) + take
-        total -= w
+    for m in range(len(marks) - 1, -1, -1):
+        part, before = kept[m * stride : (m + 1) * stride], [marks[m]]
+        for _, _, w in part[:-1]:
+            before.append(before[-1] | (before[-1] << w) & mask)
+        for (size, take, w), old in zip(reversed(part), reversed(before)):
+            if old >> total & 1:
+                continue
+            chosen[size] = chosen.get(size, 0) + take
+            total -= w
     return chosen
 
 
@@ -92,9 +102,13 @@ def assign_splits(records: DataFrame, shares: DataFrame, key: str, person: str,
     either is a group of its own. A group larger than a share's target can't go
     there, so shares are met as closely as the groups allow.
     """
-    rows = records.select(F.col(key).alias("key"), guid(photo).alias("photo")).filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("photo").alias("photo"))
-    groups = linked_groups(records, person, photo, staging).select("photo", "label")
-    labelled = lookup(rows, groups, "photo", "left").select("key", F.coalesce("label", F.concat(F.lit("photo "), "photo"), F.concat(F.lit("row "), F.col("key").cast("string"))).alias("label"))
+    rows = records.select(F.col(key).alias("key"), guid(photo).alias("photo"), guid(person).alias("person")).filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("photo").alias("photo"), F.min("person").alias("person"))
+    groups, of_person = linked_labels(records, person, photo, staging)
+    rows = staging.save(rows)
+    by_photo = lookup(rows.filter("photo is not null"), groups.select("photo", "label"), "photo", "left").select("key", F.coalesce("label", F.concat(F.lit("photo "), "photo")).alias("label"))
+    by_person = lookup(rows.filter("photo is null and person is not null"), of_person.withColumnRenamed("v", "person"), "person", "left").select("key", F.coalesce("label", "person").alias("label"))
+    alone = rows.filter("photo is null and person is null").select("key", F.concat(F.lit("row "), F.col("key").cast("string")).alias("label"))
+    labelled = by_photo.unionByName(by_person).unionByName(alone)
     labelled = staging.save(labelled)
     sizes = staging.save(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("size")).withColumn("part", F.pmod(F.xxhash64("label"), F.lit(PARTS)).cast("int")))
     # Sizes differ in at most sqrt(2 x records) ways, so this table is small.
@@ -126,3 +140,13 @@ def assign_splits(records: DataFrame, shares: DataFrame, key: str, person: str,
     ranked = sizes.withColumn("r", F.row_number().over(Window.partitionBy("size", "part").orderBy(F.xxhash64("label"), "label")) - 1)
     placed = ranked.join(before, ["size", "part"]).withColumn("rank", F.col("before") + F.col("r")).join(of, "size").filter("rank >= low and rank < high")
     return lookup(labelled, placed.select("label", "split_name"), "label").select(F.col("key").alias(key), "split_name")
+
+
+def reached_shares(splits: DataFrame, shares: DataFrame) -> DataFrame:
+    """(split_name, records, share, wanted): what ``assign_splits`` gave each split beside what was asked."""
+    counts = splits.groupBy("split_name").agg(F.count(F.lit(1)).alias("records"))
+    total = counts.agg(F.sum("records").alias("total"))
+    asked = shares.select("split_name", F.col("share").cast("double").alias("wanted")).distinct()
+    # A row for each split, beside a single one.
+    joined = asked.join(counts, "split_name", "left").join(F.broadcast(total), F.lit(True), "left")
+    return joined.select("split_name", F.coalesce("records", F.lit(0)).alias("records"), F.round(F.coalesce("records", F.lit(0)) / F.col("total"), 6).alias("share"), "wanted")

@@ -1,7 +1,7 @@
 import random
 from itertools import product
 
-from darkroom.llm.splits import assign_splits, closest_subset, photo_groups
+from darkroom.llm.splits import assign_splits, closest_subset, photo_groups, reached_shares
 
 SCHEMA = "id long, photo string, person string, label string, v int"
 SHARES = "split_name string, share double"
@@ -70,6 +70,26 @@ def test_splits_keep_groups_and_shares(spark, staging):
         assert abs(sum(v == name for v in out.values()) - share * n) <= 2
 
 
+def test_a_record_without_a_photo_stays_with_its_person(spark, staging):
+    rows = [(i, g(i, 1), g(i % 5, 0), "x", 1) for i in range(50)] + [(100 + i, None, g(i % 5, 0), "x", 1) for i in range(10)] + [(200, None, g(77, 0), "x", 1), (201, "bad", g(77, 0), "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    shares = spark.createDataFrame([("train", 0.6), ("test", 0.4)], "split_name string, share double")
+    out = {r["id"]: r["split_name"] for r in assign_splits(df, shares, "id", "person", "photo", staging).collect()}
+    assert len(out) == 62 and out[200] == out[201]
+    for i in range(10):
+        assert out[100 + i] == out[i % 5]
+    reached = {r["split_name"]: (r["records"], r["wanted"]) for r in reached_shares(spark.createDataFrame([(k, v) for k, v in out.items()], "id long, split_name string"), shares).collect()}
+    assert reached["train"][0] + reached["test"][0] == 62 and abs(reached["train"][0] - 37) <= 8
+
+
+def test_subset_of_many_sizes():
+    rng = random.Random(9)
+    sizes = {rng.randrange(1, 2000): rng.randrange(1, 6) for _ in range(300)}
+    total = sum(s * n for s, n in sizes.items())
+    took = closest_subset(sizes, total // 3)
+    assert all(0 < n <= sizes[s] for s, n in took.items()) and sum(s * n for s, n in took.items()) == total // 3
+
+
 def test_subset_against_all_choices():
     rng = random.Random(3)
     for _ in range(200):

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from darkroom.llm.bpe import Encoder, count_tokens, encode_documents, tokenizer_path
-from darkroom.llm.packing import evolve, pack_documents, packed
+from darkroom.llm.packing import evolve, pack_documents, packed, packing_summary
 from darkroom.llm.residue import Exemplars, passages, residue_documents
 
 DOCS = "doc_id long, text string, ids string, n int"
@@ -77,6 +77,21 @@ def test_crossover_improves_a_hard_case():
     assert best.score(2048) > first.score(2048)
 
 
+def test_islands_beat_best_fit_where_it_falls_short(spark, staging, monkeypatch):
+    from darkroom.llm import packing
+
+    monkeypatch.setattr(packing, "ROUNDS", 1)
+    rng = np.random.default_rng(21)
+    # Containers filled by three documents each: best-fit decreasing doesn't find the triples again.
+    a, b = rng.integers(400, 900, 60), rng.integers(400, 900, 60)
+    sizes = np.concatenate([a, b, 2048 - a - b])
+    df = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "doc_id long, tokens long")
+    alone = int((packed(sizes, 2048, np.argsort(-sizes, kind="stable")).fill > 0).sum())
+    r = packing_summary(df, "doc_id", "tokens", 2048, staging).collect()[0]
+    assert r["best_fit"] == alone and r["least"] == 60 and r["documents"] == r["parts"] == 180
+    assert 60 <= r["containers"] < alone
+
+
 def test_nothing_to_pack(spark, staging):
     assert pack_documents(spark.createDataFrame([], SIZES), "doc_id", "tokens", 2048, staging).count() == 0
 
