@@ -22,6 +22,33 @@ def holds(members: DataFrame, subject: str, member: str, wanted: list[str], ever
     return hits.filter(F.col("n") >= (len(set(wanted)) if every else 1)).select(subject)
 
 
+def holds_these(members: DataFrame, subject: str, member: str, wanted: DataFrame, every: bool) -> DataFrame:
+    """The same where the wanted members are a table: a semi-join, and one count where all are asked."""
+    hits = members.join(wanted.select(member).distinct(), member, "left_semi")
+    if not every:
+        return hits.select(subject).distinct()
+    asked = wanted.agg(F.count_distinct(member).alias("asked"))
+    # The right side is a single row.
+    return hits.groupBy(subject).agg(F.countDistinct(member).alias("n")).join(F.broadcast(asked), F.col("n") == F.col("asked")).select(subject)
+
+
+def covering(folders: list[str]) -> list[str]:
+    """The folders that cover all of ``folders``: separators made one, and those below another left out; an empty one covers everything."""
+    clean = []
+    for f in folders:
+        parts = [x for x in f.replace("\\", "/").split("/") if x]
+        if f.startswith(("/", "\\")) or any(x in (".", "..") for x in parts) or any(":" in x for x in parts[:1]):
+            raise ValueError(f"not a folder below the root: {f}")
+        clean.append("/".join(parts))
+    return sorted({f for f in clean if not any(g != f and (not g or f.startswith(g + "/")) for g in clean)})
+
+
+def within_folders(path: Column, folders: list[str]) -> Column:
+    """Whether a path lies in one of the folders; true for all paths if one of them is the root."""
+    kept = covering(folders)
+    return F.lit(True) if "" in kept else reduce(lambda a, b: a | b, [within_place(path, f) for f in kept], F.lit(False))
+
+
 def within_place(value: Column, place: str) -> Column:
     """The place itself or one below it; never one that only starts with the same letters."""
     return (value == place) | value.startswith(place.rstrip("/") + "/")
@@ -142,7 +169,7 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
 def neighbours_in_queue(queue: DataFrame, key: str, order: list[Column], parts: str | None = None) -> DataFrame:
     """(key, previous, next, position, total) of every entry of a queue; of each ``parts`` if given.
 
-    A queue is what a person works through, already filtered; its window runs in one task per part.
+    A part is sorted in one task; for one queue of any length use ``ranges.neighbours``.
     """
     w = Window.partitionBy(*([parts] if parts else [])).orderBy(*order)
     whole = Window.partitionBy(*([parts] if parts else []))

@@ -37,10 +37,14 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.agg(best.alias("b")).filter("b is not null").select("b.*")
 
 
+# The labels of a confusion matrix for what is no person.
+UNKNOWN, MISSED, REJECTED = "<unknown>", "<missed>", "<rejected>"
+
+
 def confusion(samples: DataFrame, threshold: float) -> DataFrame:
     """(expected, predicted, n) with <unknown> for people not known, <missed> for nothing found, <rejected> below the threshold."""
-    predicted = F.when(F.col("score").isNull(), "<missed>").when(F.col("score") < threshold, "<rejected>").otherwise(F.col("predicted").cast("string"))
-    return samples.select(F.coalesce(F.col("expected").cast("string"), F.lit("<unknown>")).alias("expected"), predicted.alias("predicted")).groupBy("expected", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    predicted = F.when(F.col("score").isNull(), MISSED).when(F.col("score") < threshold, REJECTED).otherwise(F.col("predicted").cast("string"))
+    return samples.select(F.coalesce(F.col("expected").cast("string"), F.lit(UNKNOWN)).alias("expected"), predicted.alias("predicted")).groupBy("expected", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
 def hash_order(key: Column, seed: str, category: Column | str) -> Column:
@@ -50,12 +54,41 @@ def hash_order(key: Column, seed: str, category: Column | str) -> Column:
 
 
 def hash_sample(df: DataFrame, key: str, category: str, seed: str, per_category: int) -> DataFrame:
-    """The first ``per_category`` rows of each category in hash order."""
+    """The first ``per_category`` rows of each category in hash order, with their place."""
     order = hash_order(F.col(key), seed, F.col(category).cast("string"))
     w = Window.partitionBy(category).orderBy(order, key)
     return df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= per_category).withColumnRenamed("__n", "place")
 
 
+def detection_metrics(kinds: DataFrame, photos: DataFrame, many: int) -> DataFrame:
+    """(grp, photos, faces, matched, missed, false_found, duplicates, ambiguous, recall) overall, for photos of ``many`` faces or more, and for each group whatever its case.
+
+    ``kinds`` is what ``match_kinds`` gives, ``photos`` has photo and grp. Recall
+    is 1 where there are no faces. Counts are made a photo first, so the three
+    views are sums of few rows.
+    """
+    n = lambda side, kind: F.count_if((F.col("side") == side) & (F.col("kind") == kind))
+    names = ["faces", "matched", "missed", "false_found", "duplicates", "ambiguous"]
+    each = kinds.groupBy("photo").agg(F.count_if(F.col("side") == "truth").alias("faces"), n("truth", "matched").alias("matched"), n("truth", "missed").alias("missed"), n("candidate", "false").alias("false_found"), n("candidate", "duplicate").alias("duplicates"), F.count_if(F.col("kind") == "ambiguous").alias("ambiguous"))
+    own = photos.select("photo", F.lower("grp").alias("grp")).join(each, "photo", "left").fillna(0, names)
+    views = F.explode(F.array_compact(F.array(F.lit("<overall>"), F.when(F.col("faces") >= many, F.lit(f"<{many}+ faces>")), F.col("grp"))))
+    sums = own.withColumn("view", views).groupBy(F.col("view").alias("grp")).agg(F.count(F.lit(1)).alias("photos"), *[F.sum(c).alias(c) for c in names])
+    return sums.withColumn("recall", ratio(F.col("matched"), F.col("faces"), 1.0))
+
+
+def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(shared): how many distinct keys two sets have in common; 0 means that they are disjoint."""
+    return left.select(key).distinct().join(right.select(key), key, "left_semi").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(only_left, only_right): how many rows, copies counted, only one of two tables has."""
+    columns = left.columns
+    both = left.withColumn("__s", F.lit(1)).unionByName(right.select(*columns).withColumn("__s", F.lit(-1)))
+    rest = both.groupBy(*columns).agg(F.sum("__s").alias("d"))
+    return rest.agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("d"))), F.lit(0)).alias("only_left"), F.coalesce(F.sum(F.when(F.col("d") < 0, -F.col("d"))), F.lit(0)).alias("only_right"))
+
+
 def lru_release(items: DataFrame, order: list[str], size: str, needed: int, staging: Staging) -> DataFrame:
     """The first items in ``order`` until ``needed`` bytes are reached: those before which less than that was gathered.
 

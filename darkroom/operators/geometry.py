@@ -31,23 +31,31 @@ def landmark_ratio(a: Column, b: Column, diagonal_a: Column, diagonal_b: Column)
     return mean / ((diagonal_a + diagonal_b) / 2)
 
 
-def overlapping_pairs(left: DataFrame, right: DataFrame, photo: str, least: float) -> DataFrame:
-    """Pairs of boxes of one photo (columns l_* and r_*, each with id, x, y, w, h) whose IoU is ``least`` at least.
+def overlapping_pairs(left: DataFrame, right: DataFrame, photo: str, least: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of boxes of one photo (columns l_* and r_*, each with id, x, y, w, h and ``keep``) whose IoU is ``least`` at least.
 
     An equi-join on the photo; a photo has few boxes.
     """
-    a = left.select(photo, *[F.col(c).alias(f"l_{c}") for c in ("id", "x", "y", "w", "h")])
-    b = right.select(photo, *[F.col(c).alias(f"r_{c}") for c in ("id", "x", "y", "w", "h")])
+    a = left.select(photo, *[F.col(c).alias(f"l_{c}") for c in ("id", "x", "y", "w", "h", *keep)])
+    b = right.select(photo, *[F.col(c).alias(f"r_{c}") for c in ("id", "x", "y", "w", "h", *keep)])
     return a.join(b, photo).withColumn("iou", iou(box("l_"), box("r_"))).filter(F.col("iou") + EPSILON >= least)
 
 
-def reconcile(existing: DataFrame, candidates: DataFrame, photo: str, least: float = 0.3) -> tuple[DataFrame, DataFrame]:
+def diagonal(prefix: str) -> Column:
+    return F.sqrt(F.pow(F.col(f"{prefix}w"), 2) + F.pow(F.col(f"{prefix}h"), 2))
+
+
+def reconcile(existing: DataFrame, candidates: DataFrame, photo: str, least: float = 0.3, apart: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """((photo, candidate, outcome, existing_id), (photo, existing_id) left over) of new boxes against known ones.
 
-    No eligible box makes a candidate new; exactly one, which no other candidate
-    is eligible for, existing; all else is ambiguous.
+    Boxes have marks, an array of points (x, y) in a fixed order. A known box is
+    eligible for a candidate if their IoU is ``least`` at least and their points
+    are, on average, no further apart than ``apart`` of the boxes' mean
+    diagonal. No eligible box makes a candidate new; exactly one, which no other
+    candidate is eligible for, existing; all else is ambiguous.
     """
-    pairs = overlapping_pairs(existing, candidates, photo, least).select(photo, F.col("l_id").alias("existing_id"), F.col("r_id").alias("candidate"))
+    near = overlapping_pairs(existing, candidates, photo, least, ("marks",)).filter(landmark_ratio(F.col("l_marks"), F.col("r_marks"), diagonal("l_"), diagonal("r_")) <= apart + EPSILON)
+    pairs = near.select(photo, F.col("l_id").alias("existing_id"), F.col("r_id").alias("candidate"))
     counted = pairs.withColumn("of_candidate", F.count(F.lit(1)).over(Window.partitionBy(photo, "candidate"))).withColumn("of_existing", F.count(F.lit(1)).over(Window.partitionBy(photo, "existing_id")))
     sure = counted.filter("of_candidate = 1 and of_existing = 1").select(photo, "candidate", "existing_id")
     met = counted.select(photo, "candidate").distinct().withColumn("met", F.lit(True))
@@ -136,3 +144,56 @@ def padded_crop(x: Column, y: Column, w: Column, h: Column, pad: float, width: C
     left, top = F.greatest(F.floor(x - w * pad), F.lit(0)), F.greatest(F.floor(y - h * pad), F.lit(0))
     right, bottom = F.least(F.ceil(x + w + w * pad), width), F.least(F.ceil(y + h + h * pad), height)
     return F.struct(left.alias("x"), top.alias("y"), (right - left).alias("w"), (bottom - top).alias("h"))
+
+
+def to_source(x: Column, y: Column, w: Column, h: Column, tile_x: Column, tile_y: Column, scale: float | Column, width: Column, height: Column) -> Column:
+    """A box found in a tile (pixels of the tile, scaled by ``scale``) as a box of the picture, cut off at its edges; null where nothing is left."""
+    left, top = F.greatest(tile_x + x / scale, F.lit(0.0)), F.greatest(tile_y + y / scale, F.lit(0.0))
+    right, bottom = F.least(tile_x + (x + w) / scale, width.cast("double")), F.least(tile_y + (y + h) / scale, height.cast("double"))
+    return F.when((right > left) & (bottom > top), F.struct(left.alias("x"), top.alias("y"), (right - left).alias("w"), (bottom - top).alias("h")))
+
+
+def to_unit(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """A box in pixels as parts of the picture's size; null for a picture without a size."""
+    return F.when((width > 0) & (height > 0), F.struct((x / width).alias("x"), (y / height).alias("y"), (w / width).alias("w"), (h / height).alias("h")))
+
+
+def to_pixels(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """A box in parts of the picture's size as whole pixels that cover it, within the picture."""
+    left, top = F.greatest(F.floor(x * width), F.lit(0)), F.greatest(F.floor(y * height), F.lit(0))
+    right, bottom = F.least(F.ceil((x + w) * width), width), F.least(F.ceil((y + h) * height), height)
+    return F.struct(left.alias("x"), top.alias("y"), (right - left).alias("w"), (bottom - top).alias("h"))
+
+
+def decode_grid(cells: DataFrame, least: float) -> DataFrame:
+    """Boxes (photo, id, score, x, y, w, h) of a detector's raw grid cells whose score is ``least`` at least.
+
+    ``cells`` has photo, stride, row, col, cls, obj, dx, dy, dw and dh: the score
+    is the geometric mean of cls and obj, cut to 0..1; the centre lies dx, dy
+    strides from the cell's corner, and the size is e^dw, e^dh strides. id
+    numbers the cells of a photo by stride, row and column.
+    """
+    unit = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0))
+    s = F.col("stride").cast("double")
+    w, h = F.exp("dw") * s, F.exp("dh") * s
+    x, y = (F.col("col") + F.col("dx")) * s - w / 2, (F.col("row") + F.col("dy")) * s - h / 2
+    kept = cells.withColumn("score", F.sqrt(unit("cls") * unit("obj"))).filter(F.col("score") >= least)
+    number = (F.col("stride").cast("long") * 2**40) + F.col("row").cast("long") * 2**20 + F.col("col").cast("long")
+    return kept.select("photo", number.alias("id"), "score", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+
+
+def alignment(points: Column, onto: list[tuple[float, float]]) -> Column:
+    """(a, b, tx, ty) of the similarity that brings ``points`` (an array of x, y) closest to ``onto``: x' = a x - b y + tx, y' = b x + a y + ty.
+
+    Least squares in closed form, as columns. Null where points are missing or all the same.
+    """
+    n = float(len(onto))
+    target = F.array(*[F.struct(F.lit(float(x)).alias("u"), F.lit(float(y)).alias("v")) for x, y in onto])
+    both = F.zip_with(points, target, lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), q["u"].alias("u"), q["v"].alias("v")))
+    total = lambda f: F.aggregate(both, F.lit(0.0), lambda s, e: s + f(e))
+    x, y, u, v = (total(lambda e, c=c: e[c]) / n for c in ("x", "y", "u", "v"))
+    xx = total(lambda e: e["x"] * e["x"] + e["y"] * e["y"]) - n * (x * x + y * y)
+    dot = total(lambda e: e["x"] * e["u"] + e["y"] * e["v"]) - n * (x * u + y * v)
+    cross = total(lambda e: e["x"] * e["v"] - e["y"] * e["u"]) - n * (x * v - y * u)
+    a, b = dot / xx, cross / xx
+    return F.when((F.size(points) == len(onto)) & (xx > EPSILON), F.struct(a.alias("a"), b.alias("b"), (u - a * x + b * y).alias("tx"), (v - b * x - a * y).alias("ty")))

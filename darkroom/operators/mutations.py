@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from darkroom.operators.ranges import numbered
+from darkroom.plans.staging import Staging
+
 
 def upsert(base: DataFrame, new: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
     """``base`` with the rows of ``new``; where a key exists only ``update`` (by default all other columns) is replaced.
@@ -36,21 +39,22 @@ def remap(df: DataFrame, column: str, mapping: DataFrame, unique: list[str] | No
     return out.dropDuplicates(unique) if unique else out
 
 
-def with_new_ids(base_max: int, new: DataFrame, order: list[str], id_column: str = "id") -> DataFrame:
-    """Consecutive ids after ``base_max`` for a batch of rows, in ``order``; partitions are numbered, not gathered."""
-    ordered = new.orderBy(*order)
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + base_max + 1))
-    schema = ordered.schema.add(id_column, "long")
-    return new.sparkSession.createDataFrame(numbered, schema)
+def with_new_ids(base_max: int, new: DataFrame, order: list[str], staging: Staging, id_column: str = "id") -> DataFrame:
+    """Consecutive ids after ``base_max`` for a batch of rows, in ``order``; ranges are numbered, not gathered."""
+    rows, _ = numbered(new, [F.col(c).asc() for c in order], staging)
+    return rows.select(*new.columns, (F.col("position") + base_max).cast("long").alias(id_column))
 
 
 def selection_token(ids: DataFrame, key: str, *context: str) -> DataFrame:
-    """(n, token): a digest of the sorted ids and the context, the same on every run over the same selection.
+    """(n, token): a digest of the distinct ids and the context, the same on every run over the same selection.
 
-    Meant for a selection that a person has made; the ids meet in one row.
+    Ids are spread over 65,536 groups by their own digest; the groups' digests,
+    64 letters each, are what meets in one row.
     """
-    joined = F.array_join(F.sort_array(F.collect_set(F.col(key).cast("string"))), "\n")
-    return ids.agg(F.countDistinct(key).alias("n"), F.sha2(F.concat_ws("\n", *[F.lit(c) for c in context], joined), 256).alias("token"))
+    rows = ids.select(F.col(key).cast("string").alias("k")).filter("k is not null").distinct().withColumn("g", F.substring(F.sha2("k", 256), 1, 4))
+    groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("k")), "\n"), 256).alias("d"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), "\n")
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.concat_ws("\n", *[F.lit(c) for c in context], joined), 256).alias("token"))
 
 
 def snapshot_diff(seen: DataFrame, known: DataFrame, key: str, digest: str) -> DataFrame:

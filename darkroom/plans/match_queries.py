@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.functions.vectors import blob_fits, blob_to_array, l2_norm
-from darkroom.operators.evaluation import best_threshold, confusion, ratio, threshold_sweep
-from darkroom.operators.geometry import match_kinds, overlapping_pairs, reconcile, suppress, tiles
+from darkroom.operators.evaluation import best_threshold, confusion, detection_metrics, overlap, ratio, same_rows, threshold_sweep
+from darkroom.operators.geometry import decode_grid, match_kinds, overlapping_pairs, reconcile, suppress, tiles, to_source, to_unit
 from darkroom.operators.matching import best_people, confidence
+from darkroom.plans.dialect import sql_vectors
 from darkroom.sources.tables import read_table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,11 +98,17 @@ def confusion_matrix(spark: SparkSession, base: str) -> DataFrame:
 # Boxes on a grid of 1/64, from the driver's line items: an order is a photo, its lines are its boxes.
 _X = {"x": "(l_partkey % 8) / 64.0", "y": "(l_suppkey % 8) / 64.0", "w": "(l_quantity % 6 + 2) / 64.0", "h": "(l_linenumber + 2) / 64.0"}
 _SQL_BOX = ", ".join(f"({v})::DOUBLE AS {k}" for k, v in _X.items())
-_BOXES = f"boxes AS (SELECT l_orderkey AS photo, l_linenumber AS id, l_returnflag AS flag, {_SQL_BOX} FROM lineitem), truth AS (SELECT * FROM boxes WHERE flag = 'N'), cand AS (SELECT * FROM boxes WHERE flag <> 'N')"
+_BOXES = f"boxes AS (SELECT l_orderkey AS photo, l_linenumber AS id, l_returnflag AS flag, {_SQL_BOX}, ((l_partkey % 5) / 64.0)::DOUBLE AS shift FROM lineitem), truth AS (SELECT * FROM boxes WHERE flag = 'N'), cand AS (SELECT * FROM boxes WHERE flag <> 'N')"
+
+
+#: Five points of a box, as parts of its size; a shift that the part gives moves all of them.
+_POINTS = ((0.25, 0.25), (0.75, 0.25), (0.5, 0.5), (0.25, 0.75), (0.75, 0.75))
+_SHIFT = "(l_partkey % 5) / 64.0"
 
 
 def _boxes(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    rows = t(spark, base, "lineitem").select(F.col("l_orderkey").alias("photo"), F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("flag"), *[F.expr(f"double({v})").alias(k) for k, v in _X.items()])
+    rows = t(spark, base, "lineitem").select(F.col("l_orderkey").alias("photo"), F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("flag"), *[F.expr(f"double({v})").alias(k) for k, v in _X.items()], F.expr(f"double({_SHIFT})").alias("shift"))
+    rows = rows.withColumn("marks", F.array(*[F.struct((F.col("x") + F.col("w") * a + F.col("shift")).alias("x"), (F.col("y") + F.col("h") * b).alias("y")) for a, b in _POINTS]))
     return rows.filter("flag = 'N'"), rows.filter("flag <> 'N'")
 
 
@@ -115,7 +122,10 @@ def iou_pairs(spark: SparkSession, base: str) -> DataFrame:
     return overlapping_pairs(truth, cand, "photo", 0.25).select("photo", "l_id", "r_id", F.round("iou", 6).alias("iou"))
 
 
-_PLAN = f"""WITH {_BOXES}, {_PAIRS}, el AS (SELECT photo, l_id, r_id, count(*) OVER (PARTITION BY photo, r_id) AS c, count(*) OVER (PARTITION BY photo, l_id) AS e FROM pairs WHERE iou + 1e-12 >= 0.3)"""
+_GAPS = " + ".join(f"sqrt(pow(l.x + l.w * {a} + l.shift - r.x - r.w * {a} - r.shift, 2) + pow(l.y + l.h * {b} - r.y - r.h * {b}, 2))" for a, b in _POINTS)
+_PLAN = f"""WITH {_BOXES}, m0 AS (SELECT l.photo, l.id AS l_id, r.id AS r_id, greatest(least(l.x + l.w, r.x + r.w) - greatest(l.x, r.x), 0) * greatest(least(l.y + l.h, r.y + r.h) - greatest(l.y, r.y), 0) AS s, l.w * l.h + r.w * r.h AS areas,
+({_GAPS}) / 5 / ((sqrt(l.w * l.w + l.h * l.h) + sqrt(r.w * r.w + r.h * r.h)) / 2) AS apart FROM truth l JOIN cand r ON r.photo = l.photo),
+el AS (SELECT photo, l_id, r_id, count(*) OVER (PARTITION BY photo, r_id) AS c, count(*) OVER (PARTITION BY photo, l_id) AS e FROM m0 WHERE CASE WHEN areas - s > 0 THEN s / (areas - s) ELSE 0 END + 1e-12 >= 0.3 AND apart <= 0.2 + 1e-12)"""
 
 
 @query(_PLAN + """ SELECT b.photo, b.id AS candidate, CASE WHEN s.l_id IS NOT NULL THEN 'existing' WHEN b.id IN (SELECT r_id FROM el WHERE el.photo = b.photo) THEN 'ambiguous' ELSE 'new' END AS outcome, s.l_id AS existing_id FROM cand b LEFT JOIN (SELECT * FROM el WHERE c = 1 AND e = 1) s ON s.photo = b.photo AND s.r_id = b.id""")
@@ -152,6 +162,62 @@ def detector_metrics(spark: SparkSession, base: str) -> DataFrame:
     return counts.select("*", F.round(ratio(F.col("matched"), F.col("faces"), 1.0), 6).alias("recall"))
 
 
+_GROUPED = _KINDS + """, each AS (SELECT photo, count(*) FILTER (side = 'truth') AS faces, count(*) FILTER (side = 'truth' AND kind = 'matched') AS matched, count(*) FILTER (side = 'truth' AND kind = 'missed') AS missed, count(*) FILTER (side = 'candidate' AND kind = 'false') AS false_found,
+count(*) FILTER (side = 'candidate' AND kind = 'duplicate') AS duplicates, count(*) FILTER (kind = 'ambiguous') AS ambiguous FROM kinds GROUP BY 1),
+own AS (SELECT o_orderkey AS photo, lower(o_orderpriority) AS grp, coalesce(faces, 0) AS faces, coalesce(matched, 0) AS matched, coalesce(missed, 0) AS missed, coalesce(false_found, 0) AS false_found, coalesce(duplicates, 0) AS duplicates, coalesce(ambiguous, 0) AS ambiguous FROM orders LEFT JOIN each ON photo = o_orderkey),
+views AS (SELECT *, grp AS v FROM own UNION ALL SELECT *, '<overall>' FROM own UNION ALL SELECT *, '<5+ faces>' FROM own WHERE faces >= 5),
+sums AS (SELECT v AS grp, count(*) AS photos, sum(faces)::BIGINT AS faces, sum(matched)::BIGINT AS matched, sum(missed)::BIGINT AS missed, sum(false_found)::BIGINT AS false_found, sum(duplicates)::BIGINT AS duplicates, sum(ambiguous)::BIGINT AS ambiguous FROM views GROUP BY v)"""
+
+
+@query(_GROUPED + " SELECT *, CASE WHEN faces = 0 THEN 1 ELSE round(matched / faces::DOUBLE, 6) END AS recall FROM sums")
+def detector_metrics_by_group(spark: SparkSession, base: str) -> DataFrame:
+    """Metrics overall, of photos with five faces or more, and by group whatever its case."""
+    photos = t(spark, base, "orders").select(F.col("o_orderkey").alias("photo"), F.col("o_orderpriority").alias("grp"))
+    out = detection_metrics(match_component_kinds(spark, base), photos, 5)
+    return out.withColumn("recall", F.round("recall", 6))
+
+
+@query("SELECT count(*) AS shared FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'N') WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag <> 'N' AND l_partkey % 50 = 0)")
+def split_overlap(spark: SparkSession, base: str) -> DataFrame:
+    """How many people two sets of samples share."""
+    rows = t(spark, base, "lineitem")
+    return overlap(rows.filter("l_returnflag = 'N'"), rows.filter("l_returnflag <> 'N' and l_partkey % 50 = 0"), "l_suppkey")
+
+
+@query("WITH a AS (SELECT DISTINCT face_occurrence_id, suggestion_id, rank FROM identity_suggestion_rankings WHERE model_id LIKE '%lumen%'), b AS (SELECT DISTINCT face_occurrence_id, suggestion_id, rank FROM identity_suggestion_rankings WHERE rank <= 2) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_right")
+def model_comparison(spark: SparkSession, base: str) -> DataFrame:
+    """In how many rows two results differ, either way."""
+    rows = t(spark, base, "identity_suggestion_rankings")
+    pick = lambda c: rows.filter(c).select("face_occurrence_id", "suggestion_id", "rank").distinct()
+    return same_rows(pick("model_id like '%lumen%'"), pick("rank <= 2"))
+
+
+_TILED = {"tx": "l_linenumber * 200", "ty": "l_linenumber * 150", "x": "l_suppkey * 1.0", "y": "l_partkey % 700 * 1.0", "w": "l_quantity * 4.0", "h": "l_quantity * 5.0"}
+
+
+@query("WITH b AS (SELECT l_orderkey AS photo, l_linenumber AS id, " + ", ".join(f"({v})::DOUBLE AS {k}" for k, v in _TILED.items()) + """ FROM lineitem), m AS (SELECT photo, id, greatest(tx + x / 0.5, 0) AS l, greatest(ty + y / 0.5, 0) AS t, least(tx + (x + w) / 0.5, 1600) AS r, least(ty + (y + h) / 0.5, 1200) AS b FROM b)
+SELECT photo, id, round(l / 1600, 6) AS x, round(t / 1200, 6) AS y, round((r - l) / 1600, 6) AS w, round((b - t) / 1200, 6) AS h FROM m WHERE r > l AND b > t""")
+def tile_boxes_to_source(spark: SparkSession, base: str) -> DataFrame:
+    """Boxes found in tiles, as parts of the picture that they lie in; those outside it are dropped."""
+    rows = t(spark, base, "lineitem").select(F.col("l_orderkey").alias("photo"), F.col("l_linenumber").alias("id"), *[F.expr(f"double({v})").alias(k) for k, v in _TILED.items()])
+    c, size = F.col, (F.lit(1600), F.lit(1200))
+    own = rows.withColumn("s", to_source(c("x"), c("y"), c("w"), c("h"), c("tx"), c("ty"), 0.5, *size)).filter("s is not null")
+    unit = own.select("photo", "id", to_unit(c("s.x"), c("s.y"), c("s.w"), c("s.h"), *size).alias("u"))
+    return unit.select("photo", "id", *[F.round(f"u.{k}", 6).alias(k) for k in ("x", "y", "w", "h")])
+
+
+_CELL = {"photo": "l_orderkey", "stride": "CASE l_linenumber % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END", "row": "l_partkey % 40", "col": "l_suppkey % 40", "cls": "l_discount * 12.0", "obj": "0.5 + l_tax * 5", "dx": "l_tax * 3", "dy": "l_discount * 2", "dw": "l_quantity / 40.0", "dh": "l_quantity / 30.0"}
+
+
+@query("WITH c AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _CELL.items()) + """ FROM lineitem), s AS (SELECT *, sqrt(least(greatest(cls, 0), 1) * least(greatest(obj, 0), 1)) AS score FROM c)
+SELECT photo, stride * 1099511627776::BIGINT + row * 1048576::BIGINT + col AS id, round(score, 6) AS score, round((col + dx) * stride - exp(dw) * stride / 2, 4) AS x, round((row + dy) * stride - exp(dh) * stride / 2, 4) AS y, round(exp(dw) * stride, 4) AS w, round(exp(dh) * stride, 4) AS h FROM s WHERE score >= 0.6""")
+def decoded_boxes(spark: SparkSession, base: str) -> DataFrame:
+    """Boxes of a detector's raw grid."""
+    cells = t(spark, base, "lineitem").select(*[F.expr(v).alias(k) for k, v in _CELL.items()])
+    out = decode_grid(cells, 0.6)
+    return out.select("photo", "id", F.round("score", 6).alias("score"), *[F.round(k, 4).alias(k) for k in ("x", "y", "w", "h")])
+
+
 @query()
 def suppressed_boxes(spark: SparkSession, base: str) -> DataFrame:
     """Greedy suppression is sequential within a photo; SQL has no plain form of it."""
@@ -168,12 +234,12 @@ def tile_plan(spark: SparkSession, base: str) -> DataFrame:
     return tiles(images, "id", 1024, 128)
 
 
-@query()
+@query(f"""WITH {sql_vectors()}, norms AS (SELECT DISTINCT v.id, e.l2_norm, v.norm FROM vectors v JOIN face_embeddings e ON e.id = v.id) SELECT id, round(l2_norm, 3) AS stored, round(norm, 3) AS actual FROM norms WHERE abs(norm - l2_norm) > 1e-5 * greatest(1, norm)""")
 def stale_norms(spark: SparkSession, base: str) -> DataFrame:
     """Vectors whose stored length isn't that of their numbers; blobs are decoded in Arrow batches."""
     rows = t(spark, base, "face_embeddings").filter(blob_fits(F.col("vector_blob"), F.col("dimensions"))).select("id", "l2_norm", blob_to_array("vector_blob").alias("v"))
     norm = rows.select("id", "l2_norm", l2_norm(F.col("v")).alias("norm")).filter(~F.isnan("norm") & (F.col("norm") > 0)).distinct()
-    return norm.filter(F.abs(F.col("norm") - F.col("l2_norm")) > 1e-5 * F.greatest(F.lit(1.0), "norm")).select("id", F.round("l2_norm", 4).alias("stored"), F.round("norm", 4).alias("actual"))
+    return norm.filter(F.abs(F.col("norm") - F.col("l2_norm")) > 1e-5 * F.greatest(F.lit(1.0), "norm")).select("id", F.round("l2_norm", 3).alias("stored"), F.round("norm", 3).alias("actual"))
 
 
 def queries() -> dict[str, Query]:

@@ -8,13 +8,15 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from darkroom.functions.geo import on_earth
 from darkroom.functions.guid import guid
 from darkroom.functions.paths import ancestors, canonical_place, leaf, parent
-from darkroom.operators.collections import holds, in_box, neighbours_in_queue, on_days, page, within_place
-from darkroom.operators.evaluation import hash_order, lru_release, ratio
+from darkroom.operators.collections import holds_these, in_box, neighbours_in_queue, on_days, page, within_folders, within_place
+from darkroom.operators.evaluation import hash_sample, lru_release, ratio
 from darkroom.operators.latest import active_reviews, latest_by, latest_by_id
-from darkroom.operators.mutations import delete_stale, insert_if_absent, remap, selection_token, snapshot_diff, upsert
+from darkroom.operators.mutations import delete_stale, insert_if_absent, remap, selection_token, snapshot_diff, upsert, with_new_ids
 from darkroom.operators.places import display_label, resolve_chains
+from darkroom.operators.ranges import neighbours, quantiles
 from darkroom.plans.dialect import sql_guid
 from darkroom.plans.staging import Staging
 from darkroom.sources.tables import read_table as t
@@ -65,10 +67,17 @@ def latest_person_action(spark: SparkSession, base: str) -> DataFrame:
     return latest_by_id(actions(spark, base).filter("person_id is not null"), ["asset_revision_id", "person_id"], "id").select("asset_revision_id", "person_id", "id", "action_kind")
 
 
-@query(f"WITH {_PRESENT} SELECT asset_revision_id, person_id FROM present UNION SELECT asset_revision_id, person_id FROM acts WHERE action_kind = 'confirm'")
+@query(f"""WITH {_PRESENT}, ppl AS (SELECT DISTINCT {sql_guid('id')} AS person_id, {sql_guid('merged_into_person_id')} AS merged_into FROM people)
+SELECT asset_revision_id, person_id FROM present WHERE person_id NOT IN (SELECT person_id FROM ppl WHERE merged_into IS NOT NULL) UNION SELECT asset_revision_id, merged_into FROM present JOIN ppl USING (person_id) WHERE merged_into IN (SELECT person_id FROM ppl)""")
 def effective_people_union(spark: SparkSession, base: str) -> DataFrame:
-    confirmed = actions(spark, base).filter("action_kind = 'confirm'").select("asset_revision_id", "person_id")
-    return present(spark, base).union(confirmed).distinct()
+    """The people of a photo: those present who aren't merged, and those whom merged ones were merged into."""
+    own = people(spark, base).select("person_id", "merged_into").distinct()
+    merged = own.filter("merged_into is not null")
+    there = own.select(F.col("person_id").alias("merged_into")).distinct()
+    now = present(spark, base)
+    kept = now.join(merged.select("person_id"), "person_id", "left_anti").select("asset_revision_id", "person_id")
+    moved = now.join(merged.join(there, "merged_into", "left_semi"), "person_id").select("asset_revision_id", F.col("merged_into").alias("person_id"))
+    return kept.union(moved).distinct()
 
 
 @query(f"""WITH {_PRESENT}, ppl AS (SELECT DISTINCT {sql_guid('id')} AS person_id, display_name FROM people WHERE {sql_guid('merged_into_person_id')} IS NULL AND trim(display_name) <> '')
@@ -116,18 +125,21 @@ def model_inventory(spark: SparkSession, base: str) -> DataFrame:
 _WANTED = f"wanted AS (SELECT person_id FROM present GROUP BY person_id ORDER BY count(*) DESC, person_id LIMIT 2)"
 
 
-def _wanted(spark: SparkSession, base: str) -> list[str]:
-    return [r[0] for r in present(spark, base).groupBy("person_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "person_id").limit(2).collect()]
+def _wanted(now: DataFrame) -> DataFrame:
+    """The two people with the most photos: a table of two rows, not a list at the driver."""
+    return now.groupBy("person_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "person_id").limit(2).select("person_id")
 
 
 @query(f"WITH {_PRESENT}, {_WANTED} SELECT DISTINCT asset_revision_id FROM present WHERE person_id IN (SELECT person_id FROM wanted)")
 def collection_any_people(spark: SparkSession, base: str) -> DataFrame:
-    return holds(present(spark, base), "asset_revision_id", "person_id", _wanted(spark, base), every=False)
+    now = present(spark, base)
+    return holds_these(now, "asset_revision_id", "person_id", _wanted(now), every=False)
 
 
 @query(f"WITH {_PRESENT}, {_WANTED} SELECT asset_revision_id FROM present WHERE person_id IN (SELECT person_id FROM wanted) GROUP BY asset_revision_id HAVING count(DISTINCT person_id) = 2")
 def collection_all_people(spark: SparkSession, base: str) -> DataFrame:
-    return holds(present(spark, base), "asset_revision_id", "person_id", _wanted(spark, base), every=True)
+    now = present(spark, base)
+    return holds_these(now, "asset_revision_id", "person_id", _wanted(now), every=True)
 
 
 @query(f"WITH {_PHOTOS} SELECT asset_revision_id, latitude, longitude FROM photos WHERE latitude BETWEEN 0 AND 45 AND longitude BETWEEN -60 AND 60")
@@ -159,7 +171,8 @@ WHERE r.observed_at >= TIMESTAMPTZ '2019-06-01 00:00:00+00' AND p.latitude IS NO
 ORDER BY r.observed_at DESC NULLS LAST, r.id LIMIT 50 OFFSET 10""")
 def collection_combined(spark: SparkSession, base: str) -> DataFrame:
     """A page of fifty photos that meet people, date and position at once."""
-    wanted = holds(present(spark, base), "asset_revision_id", "person_id", _wanted(spark, base), every=False).withColumnRenamed("asset_revision_id", "id")
+    now = present(spark, base)
+    wanted = holds_these(now, "asset_revision_id", "person_id", _wanted(now), every=False).withColumnRenamed("asset_revision_id", "id")
     photos = t(spark, base, "photo_capture_metadata").select(F.col("asset_revision_id").alias("id"), "latitude", "longitude").distinct().filter("latitude is not null")
     rows = revisions(spark, base).filter(on_days(F.col("observed_at"), date(2019, 6, 1), None)).join(wanted, "id", "left_semi").join(photos, "id")
     return page(rows.select("id", "observed_at", "latitude", "longitude"), [F.desc_nulls_last("observed_at"), F.asc("id")], 10, 50)
@@ -274,13 +287,13 @@ def evidence_version(spark: SparkSession, base: str) -> DataFrame:
 def hash_ordered_sample(spark: SparkSession, base: str) -> DataFrame:
     """Five revisions of each media type, the same on every machine: a sampling operator."""
     rows = revisions(spark, base).select("id", F.coalesce(F.lower("media_type"), F.lit("")).alias("category"))
-    w = Window.partitionBy("category").orderBy(hash_order(F.col("id"), "seed-1", F.col("category")), "id")
-    return rows.withColumn("place", F.row_number().over(w)).filter("place <= 5").select("id", "category", F.col("place").cast("long").alias("place"))
+    return hash_sample(rows, "id", "category", "seed-1", 5).select("id", "category", F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH {_REVISIONS} SELECT count(size_bytes) AS files, round(avg(size_bytes), 3) AS mean, quantile_cont(size_bytes, 0.5)::DOUBLE AS median, quantile_disc(size_bytes, 0.95)::BIGINT AS p95 FROM revs")
 def size_percentiles(spark: SparkSession, base: str) -> DataFrame:
-    return revisions(spark, base).agg(F.count("size_bytes").alias("files"), F.round(F.avg("size_bytes"), 3).alias("mean"), F.expr("percentile(size_bytes, 0.5)").alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY size_bytes)").cast("long").alias("p95"))
+    out = quantiles(revisions(spark, base).select("size_bytes"), "size_bytes", Staging(spark, "sizes"))
+    return out.select(F.col("files").cast("long").alias("files"), F.round("mean", 3).alias("mean"), F.col("median").cast("double").alias("median"), F.col("p95").cast("long").alias("p95"))
 
 
 _OLD, _NEW = "observed_at < TIMESTAMPTZ '2022-01-01 00:00:00+00'", "observed_at >= TIMESTAMPTZ '2021-01-01 00:00:00+00'"
@@ -323,12 +336,49 @@ def lru_release_first_gigabyte(spark: SparkSession, base: str) -> DataFrame:
     return lru_release(revisions(spark, base).select("id", "observed_at", "size_bytes"), ["observed_at", "id"], "size_bytes", 1_000_000_000, Staging(spark, "lru"))
 
 
-@query("""WITH pos AS (SELECT DISTINCT asset_revision_id, latitude, longitude FROM photo_capture_metadata WHERE latitude IS NOT NULL AND longitude IS NOT NULL), cached AS (SELECT DISTINCT latitude, longitude FROM photo_place_reverse_geocode_cache)
-SELECT p.asset_revision_id, p.latitude, p.longitude, c.latitude IS NOT NULL AS cached FROM pos p LEFT JOIN cached c ON c.latitude = p.latitude AND c.longitude = p.longitude""")
+_ON_EARTH = "latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0)"
+
+
+@query(f"""WITH pos AS (SELECT DISTINCT {sql_guid('asset_revision_id')} AS asset_revision_id, latitude, longitude FROM photo_capture_metadata WHERE {_ON_EARTH}),
+cached AS (SELECT DISTINCT provider, latitude, longitude, max(resolved_at) AS resolved_at FROM photo_place_reverse_geocode_cache WHERE provider = 'geo-cedar' AND contract_key LIKE 'v2%' GROUP BY ALL)
+SELECT p.asset_revision_id, p.latitude, p.longitude, CASE WHEN c.latitude IS NULL THEN 'missing' WHEN c.resolved_at < TIMESTAMPTZ '2020-01-01 00:00:00+00' THEN 'refresh' ELSE 'known' END AS wanted FROM pos p LEFT JOIN cached c ON c.latitude = p.latitude AND c.longitude = p.longitude""")
 def enrichment_candidates(spark: SparkSession, base: str) -> DataFrame:
-    pos = t(spark, base, "photo_capture_metadata").select("asset_revision_id", "latitude", "longitude").filter("latitude is not null and longitude is not null").distinct()
-    cached = t(spark, base, "photo_place_reverse_geocode_cache").select("latitude", "longitude").distinct().withColumn("c", F.lit(True))
-    return pos.join(cached, ["latitude", "longitude"], "left").select("asset_revision_id", "latitude", "longitude", F.coalesce("c", F.lit(False)).alias("cached"))
+    """Usable positions beside what one provider's cache, under one contract, says of exactly them; old answers are asked again."""
+    pos = t(spark, base, "photo_capture_metadata").select(guid("asset_revision_id").alias("asset_revision_id"), "latitude", "longitude").filter(on_earth(F.col("latitude"), F.col("longitude"))).distinct()
+    cached = t(spark, base, "photo_place_reverse_geocode_cache").filter("provider = 'geo-cedar' and contract_key like 'v2%'").groupBy("latitude", "longitude").agg(F.max("resolved_at").alias("resolved_at"))
+    cut = F.to_timestamp(F.lit("2020-01-01 00:00:00Z"), "yyyy-MM-dd HH:mm:ssX")
+    wanted = F.when(F.col("resolved_at").isNull(), "missing").when(F.col("resolved_at") < cut, "refresh").otherwise("known")
+    return pos.join(cached, ["latitude", "longitude"], "left").select("asset_revision_id", "latitude", "longitude", wanted.alias("wanted"))
+
+
+@query(f"""WITH {_REVISIONS}, done AS (SELECT {sql_guid('asset_revision_id')} AS id, max(CASE WHEN extracted_at < TIMESTAMPTZ '2021-01-01 00:00:00+00' THEN 1 ELSE 2 END) AS version FROM photo_capture_metadata GROUP BY 1)
+SELECT r.id, CASE WHEN d.version IS NULL THEN 'new' WHEN d.version < 2 THEN 'stale' ELSE 'forced' END AS reason FROM revs r LEFT JOIN done d ON d.id = r.id WHERE d.version IS NULL OR d.version < 2 OR r.size_bytes % 97 = 0""")
+def stale_metadata(spark: SparkSession, base: str) -> DataFrame:
+    """Revisions to read again: never read, read by an older version, or forced."""
+    cut = F.to_timestamp(F.lit("2021-01-01 00:00:00Z"), "yyyy-MM-dd HH:mm:ssX")
+    done = t(spark, base, "photo_capture_metadata").groupBy(guid("asset_revision_id").alias("id")).agg(F.max(F.when(F.col("extracted_at") < cut, 1).otherwise(2)).alias("version"))
+    version, forced = F.col("version"), F.coalesce(F.col("size_bytes") % 97 == 0, F.lit(False))
+    rows = revisions(spark, base).select("id", "size_bytes").join(done, "id", "left").filter(version.isNull() | (version < 2) | forced)
+    return rows.select("id", F.when(version.isNull(), "new").when(version < 2, "stale").otherwise("forced").alias("reason"))
+
+
+@query(f"WITH {_PLACES} SELECT DISTINCT place FROM plc WHERE place = 'places/velrickor' OR starts_with(place, 'places/velrickor/') OR place = 'places/bramoraia/ostsia' OR starts_with(place, 'places/bramoraia/ostsia/')")
+def folder_scope(spark: SparkSession, base: str) -> DataFrame:
+    """Paths below any of the included folders; a folder below another included one adds nothing."""
+    return places(spark, base).filter(within_folders(F.col("place"), ["places/velrickor/", "places\\\\velrickor\\\\ostdal", "places/bramoraia/ostsia"])).select("place").distinct()
+
+
+@query(f"WITH {_REVISIONS} SELECT id, lag(id) OVER w AS previous, lead(id) OVER w AS next, row_number() OVER w AS position, count(*) OVER () AS total FROM revs WINDOW w AS (ORDER BY observed_at, id)")
+def queue_navigation_global(spark: SparkSession, base: str) -> DataFrame:
+    """One queue over all revisions, by ranges."""
+    return neighbours(revisions(spark, base).select("id", "observed_at"), "id", [F.asc("observed_at"), F.asc("id")], Staging(spark, "queue"))
+
+
+@query(f"WITH {_REVISIONS} SELECT asset_id, id AS revision, 1000 + row_number() OVER (ORDER BY observed_at, id) AS id FROM revs")
+def numbered_inserts(spark: SparkSession, base: str) -> DataFrame:
+    """New ids for a batch, in the order in which its rows were seen."""
+    rows = revisions(spark, base).select("asset_id", F.col("id").alias("revision"), "observed_at")
+    return with_new_ids(1000, rows, ["observed_at", "revision"], Staging(spark, "ids")).select("asset_id", "revision", "id")
 
 
 @query(f"WITH {_PLACES}, p AS (SELECT DISTINCT place FROM plc), a AS (SELECT DISTINCT array_to_string(list_slice(string_split(place, '/'), 1, n), '/') AS path FROM p, range(1, 40) r(n) WHERE n <= len(string_split(place, '/'))) SELECT path, string_split(path, '/')[-1] AS leaf, CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]*$', '') END AS parent FROM a")
@@ -376,9 +426,10 @@ def constraint_violations(spark: SparkSession, base: str) -> DataFrame:
     return out
 
 
-@query("SELECT count(*) AS n, sha256('assign' || chr(10) || 'preview' || chr(10) || string_agg(k, chr(10) ORDER BY k)) AS token FROM (SELECT DISTINCT area_id AS k FROM place_areas)")
+@query("""WITH k AS (SELECT DISTINCT crop_id AS k FROM face_crops WHERE crop_id IS NOT NULL), g AS (SELECT substr(sha256(k), 1, 4) AS g, count(*) AS n, sha256(string_agg(k, chr(10) ORDER BY k)) AS d FROM k GROUP BY 1)
+SELECT sum(n)::BIGINT AS n, sha256('assign' || chr(10) || 'preview' || chr(10) || string_agg(d, chr(10) ORDER BY g)) AS token FROM g""")
 def bulk_preview_token(spark: SparkSession, base: str) -> DataFrame:
-    return selection_token(t(spark, base, "place_areas"), "area_id", "assign", "preview")
+    return selection_token(t(spark, base, "face_crops"), "crop_id", "assign", "preview")
 
 
 @query("SELECT face_occurrence_id FROM (SELECT face_occurrence_id FROM identity_suggestion_rankings INTERSECT SELECT face_occurrence_id FROM face_crops)")

@@ -29,6 +29,7 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(path, size_bytes, modified_at, extension, media_type, supported) of all files below a folder.
 
     Only names and sizes are read: the contents' column is pruned from the scan.
+    Files of no length aren't listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     kind = media_type(F.col("path"))
@@ -50,26 +51,41 @@ MANIFEST_OPTIONAL = {"sample group": "sample_group", "source sha-256": "source_s
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A manifest of samples: ``;`` or ``,`` between fields, quotes, a BOM, and any lines before the header are allowed.
 
-    The header is looked for in the first lines; the rows are read by Spark's own reader.
+    The header is the first line that has all columns, wherever it stands. A
+    manifest is one file of a session's samples, so one task reads it whole; a
+    row without an id or with a number of faces that is none is an error that
+    names the row.
     """
-    head = spark.read.text(path).limit(200).collect()
-    for line in (r[0] for r in head):
-        for sep in (";", ","):
-            names = [c.strip().lstrip("﻿").lower() for c in next(csv.reader(io.StringIO(line), delimiter=sep), [])]
-            if set(MANIFEST) <= set(names):
-                known = MANIFEST | MANIFEST_OPTIONAL
-                fields = [known.get(n, f"_c{i}") for i, n in enumerate(names)]
-                schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-                rows = spark.read.csv(path, sep=sep, quote='"', escape='"', multiLine=True, schema=schema, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-                wanted = [f for f in fields if not f.startswith("_c")]
-                # Lines before the header have no number of faces; neither has the header.
-                rows = rows.filter(F.col("countable_faces").try_cast("int").isNotNull() & (F.trim("sample_id") != ""))
-                out = rows.select(*wanted).withColumn("countable_faces", F.col("countable_faces").cast("int"))
-                for f in MANIFEST_OPTIONAL.values():
-                    if f not in wanted:
-                        out = out.withColumn(f, F.lit(None).cast("string"))
-                return out
-    raise ValueError("no header with the manifest's columns")
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = MANIFEST | MANIFEST_OPTIONAL
+        for frame in frames:
+            for content in frame["content"]:
+                text = bytes(content).decode("utf-8-sig")
+                found = None
+                for sep in (";", ","):
+                    rows = list(csv.reader(io.StringIO(text, newline=""), delimiter=sep))
+                    for i, row in enumerate(rows):
+                        names = [c.strip().lower() for c in row]
+                        if set(MANIFEST) <= set(names):
+                            found = (rows[i + 1 :], names, i + 1) if found is None or i + 1 < found[2] else found
+                            break
+                if found is None:
+                    raise ValueError("no header with the manifest's columns")
+                out = []
+                for number, row in enumerate(found[0], found[2] + 1):
+                    if not any(c.strip() for c in row):
+                        continue
+                    own = {known[n]: c.strip() or None for n, c in zip(found[1], row) if n in known}
+                    faces = own.get("countable_faces") or ""
+                    if not own.get("sample_id") or not faces.isdecimal():
+                        raise ValueError(f"row {number} of the manifest has no sample id or no number of faces")
+                    out.append({**{c: own.get(c) for c in known.values()}, "countable_faces": int(faces)})
+                yield pd.DataFrame(out, columns=list(known.values()))
+
+    columns = [*MANIFEST.values(), *MANIFEST_OPTIONAL.values()]
+    schema = ", ".join(f"{c} {'int' if c == 'countable_faces' else 'string'}" for c in columns)
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema)
 
 
 _FACE = "struct<faceId:string,personId:string,embedding:array<float>>"
@@ -124,6 +140,33 @@ def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(check, "bundle string, name string, length long, sha256 string, problem string")
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    """Rows as CSV with quoted fields; parts in a folder, written by the tasks."""
-    rows.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
+def stream_folder(spark: SparkSession, folder: str, most_a_batch: int = 1_000) -> DataFrame:
+    """The same columns as ``scan_folder``, as a stream of the files that arrive."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", most_a_batch).load(folder)
+    kind, ext = media_type(F.col("path")), F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
+    return files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), F.when(ext == "", "<none>").otherwise(ext).alias("extension"), kind.alias("media_type"), kind.isNotNull().alias("supported"))
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """(extension, family, supported, files, bytes) of what ``scan_folder`` found."""
+    family = F.coalesce(F.regexp_extract("media_type", "^[^/]+", 0), F.lit("other"))
+    return files.groupBy("extension", family.alias("family"), "supported").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+
+
+def capture_metadata(tags: DataFrame, key: str) -> DataFrame:
+    """(key, taken, offset, latitude, longitude) of a picture's raw tags (key, directory, name, value), by precedence.
+
+    A time in the EXIF sub-directory comes first, then one in the main
+    directory, then XMP's; a position needs both coordinates of one directory.
+    """
+    pick = lambda directory, name: F.max(F.when((F.col("directory") == directory) & (F.col("name") == name), F.nullif(F.trim("value"), F.lit(""))))
+    wide = tags.groupBy(key).agg(
+        pick("SubIFD", "DateTimeOriginal").alias("s"), pick("SubIFD", "OffsetTimeOriginal").alias("so"), pick("IFD0", "DateTime").alias("m"), pick("IFD0", "OffsetTime").alias("mo"), pick("XMP", "CreateDate").alias("x"),
+        *[pick(d, n).try_cast("double").alias(f"{d}_{n}".lower()) for d in ("GPS", "XMP") for n in ("Latitude", "Longitude")],
+    )
+    offset = F.when(F.col("s").isNotNull(), F.col("so")).when(F.col("m").isNotNull(), F.col("mo"))
+    gps = F.col("gps_latitude").isNotNull() & F.col("gps_longitude").isNotNull()
+    xmp = F.col("xmp_latitude").isNotNull() & F.col("xmp_longitude").isNotNull()
+    place = lambda n: F.when(gps, F.col(f"gps_{n}")).when(xmp, F.col(f"xmp_{n}"))
+    return wide.select(key, F.coalesce("s", "m", "x").alias("taken"), offset.alias("offset"), place("latitude").alias("latitude"), place("longitude").alias("longitude"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,12 +30,6 @@ def read_latest(spark, folder: str, keys: list[str], id_column: str) -> DataFram
     return latest_by_id(spark.read.parquet(folder).drop("part", "batch"), keys, id_column)
 
 
-def compact(spark, folder: str, keys: list[str], id_column: str, target: str, replace: Callable[[str, str], None]) -> None:  # noqa: ANN001
-    """Rewrites the state as one batch at ``target``; ``replace(target, folder)`` then swaps the folders."""
-    read_latest(spark, folder, keys, id_column).write.mode("overwrite").parquet(target)
-    replace(target, folder)
-
-
 def counts_by_window(stream: DataFrame, time: str, kind: str, size: str, late: str) -> DataFrame:
     """Events of each kind in tumbling windows; rows later than ``late`` behind the newest are dropped, and state with them."""
     return stream.withWatermark(time, late).groupBy(F.window(time, size), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), kind, "n")

@@ -112,14 +112,14 @@ def test_vectors(spark):
     assert df.filter("v is not null").select(cosine(F.col("v"), F.array(F.lit(0.0).cast("float"), F.lit(2.0).cast("float")))).collect()[0][0] == pytest.approx(0.8)
 
 
-def test_mutations(spark):
+def test_mutations(spark, staging):
     base = spark.createDataFrame([(1, "a", "open"), (2, "b", "done"), (3, "c", "open")], "id long, v string, s string")
     new = spark.createDataFrame([(2, "B", "open"), (4, "d", "open")], "id long, v string, s string")
     assert rows(upsert(base, new, ["id"], ["v"])) == [(1, "a", "open"), (2, "B", "done"), (3, "c", "open"), (4, "d", "open")]
     assert rows(insert_if_absent(base, new, ["id"])) == [(1, "a", "open"), (2, "b", "done"), (3, "c", "open"), (4, "d", "open")]
     assert rows(delete_stale(base, new, ["id"], F.col("s") == "done").select("id")) == [(2,)]
     assert rows(remap(base, "v", spark.createDataFrame([("a", "c")], "old string, new string"), ["v"]).select("v")) == [("b",), ("c",)]
-    assert rows(with_new_ids(9, new.select("v"), ["v"])) == [("B", 10), ("d", 11)]
+    assert rows(with_new_ids(9, new.select("v"), ["v"], staging)) == [("B", 10), ("d", 11)]
     assert selection_token(base, "id", "x").collect() == selection_token(base.union(base), "id", "x").collect() != selection_token(base, "id", "y").collect()
     diff = snapshot_diff(spark.createDataFrame([("a", "1"), ("b", "2"), ("n", "9")], "k string, d string"), spark.createDataFrame([("a", "1"), ("b", "3"), ("m", "4")], "k string, d string"), "k", "d")
     assert rows(diff) == [("a", "same"), ("b", "changed"), ("m", "missing"), ("n", "new")]
@@ -131,6 +131,11 @@ BOX = "photo string, id long, x double, y double, w double, h double"
 def test_boxes(spark):
     known = spark.createDataFrame([("p", 1, 0.0, 0.0, 0.2, 0.2), ("p", 2, 0.5, 0.5, 0.2, 0.2), ("p", 3, 0.8, 0.0, 0.1, 0.1), ("q", 1, 0.0, 0.0, 0.2, 0.2)], BOX)
     found = spark.createDataFrame([("p", 7, 0.0, 0.0, 0.2, 0.2), ("p", 8, 0.5, 0.5, 0.2, 0.2), ("p", 9, 0.51, 0.5, 0.2, 0.2), ("p", 6, 0.0, 0.8, 0.1, 0.1), ("q", 5, 0.5, 0.5, 0.0, 0.0)], BOX)
+    # The points are the middle of each box, but those of one more found box lie far from its own.
+    marks = lambda df, off: df.withColumn("marks", F.array(F.struct((F.col("x") + F.col("w") / 2 + off).alias("x"), (F.col("y") + F.col("h") / 2).alias("y"))))
+    known, found = marks(known, F.lit(0.0)), marks(found, F.lit(0.0))
+    off = marks(spark.createDataFrame([("r", 1, 0.0, 0.0, 0.2, 0.2)], BOX), F.lit(0.1))
+    assert reconcile(marks(spark.createDataFrame([("r", 2, 0.0, 0.0, 0.2, 0.2)], BOX), F.lit(0.0)), off, "photo")[0].collect()[0]["outcome"] == "new"
     plan, rest = reconcile(known, found, "photo")
     assert {(r[0], r[1]): (r[2], r[3]) for r in plan.collect()} == {("p", 7): ("existing", 1), ("p", 8): ("ambiguous", None), ("p", 9): ("ambiguous", None), ("p", 6): ("new", None), ("q", 5): ("new", None)}
     assert rows(rest) == [("p", 2), ("p", 3), ("q", 1)]
@@ -198,8 +203,8 @@ def test_manifest(spark, tmp_path):
     p.write_text('﻿Report of May\n;;;\nSample ID;Image Name;Source Group;Primary Category;Countable Faces\ns1;"a;""b"".jpg";g;c;3\ns2;b.jpg;g;c;0\n\n', encoding="utf-8")
     assert rows(read_manifest(spark, str(p)).select("sample_id", "image_name", "countable_faces", "sample_group").fillna("-")) == [("s1", 'a;"b".jpg', 3, "-"), ("s2", "b.jpg", 0, "-")]
     p.write_text("a,b\n1,2\n")
-    with pytest.raises(ValueError):
-        read_manifest(spark, str(p))
+    with pytest.raises(Exception, match="no header"):
+        read_manifest(spark, str(p)).collect()
 
 
 def test_evaluation_file(spark, tmp_path):
