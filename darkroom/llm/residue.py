@@ -41,12 +41,9 @@ MARK, QUOTED = "\ue000", "\ue001"
 
 # Exemplars, in lower case. MARK stands for any marker, * for any words.
 UNFILLED = [
-    "hello MARK", "hi MARK", "dear MARK", "dear MARK the album from * is ready for review", "dear * the album from MARK is ready for review",
-    "the collection MARK now holds * photos", "the collection * now holds MARK photos", "run MARK finished with * faces", "run * finished with MARK faces",
-    "reviewed by MARK on", "reviewed by * on MARK", "taken in MARK by", "taken in * by MARK", "MARK was merged into", "was merged into MARK", "this picture shows MARK at", "this picture shows * at MARK", "this picture shows MARK",
+    "hello MARK", "hi MARK", "dear MARK", "bonjour MARK", "hola MARK", "hej MARK", "hallo MARK", "from MARK is ready", "aus MARK ist bereit", "de MARK est prêt", "de MARK está listo", "från MARK är klara",
+    "now holds MARK photos", "with MARK faces", "the collection MARK now holds", "run MARK finished", "by MARK on", "on MARK", "in MARK by", "MARK was merged into", "shows MARK at", "this picture shows MARK", "at MARK", "von MARK in", "von * in MARK", "撮影者 MARK 場所", "場所 MARK",
     "caption MARK", "folder MARK", "photos MARK", "title MARK", "album MARK", "name MARK", "place MARK", "date MARK", "reviewer MARK", "run MARK", "model MARK",
-    "hallo MARK das album aus * ist bereit", "bonjour MARK l album de * est prêt", "bonjour * l album de MARK est prêt", "hola MARK el álbum de * está listo", "hola * el álbum de MARK está listo",
-    "hej MARK bilderna från * är klara", "hej * bilderna från MARK är klara", "aufgenommen von MARK in", "aufgenommen von * in MARK", "撮影者 MARK 場所", "撮影者 * 場所 MARK", "bonjour MARK", "hola MARK", "hej MARK", "hallo MARK",
 ]
 TEMPLATE_TEXT = [
     "this is dummy content for layout purposes only", "* to be written", "description to be written", "caption to be written", "placeholder * to be replaced", "dummy paragraph", "dummy text", "dummy description", "dummy note", "dummy caption", "dummy title", "dummy comment", "dummy album text",
@@ -57,7 +54,7 @@ TEMPLATE_TEXT = [
     "hier steht später der beschreibungstext", "bitte ersetzen", "ici viendra le texte de la légende contenu provisoire", "aquí va el texto de ejemplo sustituir", "här kommer brödtext att stå", "byt ut den här texten", "ここに説明文が入ります",
 ]
 ERROR_PAGE = [
-    "the requested * does not exist", "this * is currently unavailable", "this content is no longer available", "no such album", "no such photo", "no such page", "no such document", "no such file", "no such link", "no such view", "no such collection", "no such crop", "no such face list", "no such resource", "error code 0 message no such",
+    "the requested * does not exist", "this * is currently unavailable", "this content is no longer available", "no such album", "no such photo", "no such page", "no such document", "no such file", "no such link", "no such view", "no such collection", "no such resource",
     "you are not allowed to open this", "you do not have permission to * this", "an unexpected error prevented the * from loading", "the server refused to deliver this", "rendering of the * failed with code e 0", "unable to display the * at this time", "we couldn t load this", "something went wrong while loading this",
     "the * you were looking for has been moved or removed", "the * you requested could not be located on this server", "request timed out", "gateway did not respond within 0 s", "unhandled exception rendering", "at viewer loadasync string key", "at host run", "traceback most recent call last", "file viewer py line 0 in render", "keyerror caption",
     "we re down for scheduled maintenance and will be back shortly", "too many requests", "slow down and retry in 0 seconds", "access denied", "your session has expired sign in again to continue", "sign in and repeat the request", "error establishing a database connection", "internal server error",
@@ -74,16 +71,11 @@ SCRIPTS_NEEDED = [
     "the photo viewer cannot start without javascript", "enable both and reload", "aktivera javascript för att se bilderna", "active javascript en su navegador para continuar", "bitte aktivieren sie javascript um die galerie anzuzeigen", "veuillez activer javascript pour afficher cette page", "javascript を有効にしてください", "javascriptを有効にしてください",
 ]
 DESCRIBED = [
-    "syntax reference a marker such as MARK stands for a field and is filled in when the page is built", "last week the caption showed the literal text QUOTED to two reviewers", "last week the caption showed the literal text MARK to two reviewers", "the export template writes MARK until a value is known", "der platzhalter MARK in der vorlage wird beim export ersetzt das ist so dokumentiert und gewollt",
-    "in the settings file the line path QUOTED derived is correct as it stands since the launcher expands it at start", "in the settings file the line path MARK derived is correct as it stands since the launcher expands it at start", "c note MARK is an interpolated string in our source it is not shown to anybody", "c note faces is an interpolated string in our source it is not shown to anybody",
-    "the unit test checks that access denied is shown to guests and that the real album is shown to owners", "reviewers see please sign in again after an hour of idling which is by design and written down in the guide", "the person list prints a dash when the name is null so nothing looks empty and nothing is missing",
-    "the old link returned 0 not found after the folder rename so the catalogue now keeps a redirect", "browsers that ask users to enable javascript were tested too", "the server side list works without any javascript", "seiten mit dem hinweis javascript aktivieren werden beim import jetzt verworfen siehe bericht vom montag",
-    "a margin of MARK never wins and the order of equal scores was MARK in the old code", "on this disk the originals are cloud placeholders and the word placeholder here simply means a file that has not been hydrated", "somebody left lorem ipsum in the mock up of the help page which we replaced with a real explanation in the same commit",
-    "fixed an internal server error occurred when a crop had zero width", "during the restart the viewer answered with 0 for 0 seconds and recovered on its own as the log confirms", "todo rescan strip 0 rename the folder and ask for the names on the back", "the word dolor on the old gravestone in picture 0 means pain", "to print the list use for var i 0",
-    "sample 0 of the recall pilot has 0 countable faces and two more that are only outlines", "error rates fell from 0 0 to 0 0",
-    "a marker such as MARK stands for", "a placeholder such as MARK is replaced with the", "the placeholder MARK is replaced by the", "the variable MARK is expanded to the", "the field MARK is filled in when the", "the literal text MARK appears in the", "in the template the token MARK means the",
-    "the words lorem ipsum dolor are filler text that stands for real text",
-    "the documentation says", "the manual explains", "for example write", "the test checks that", "is shown when", "the template language uses",
+    "such as MARK stands for", "such as QUOTED stands for", "such as MARK is replaced with the", "the placeholder MARK is replaced by the", "the variable MARK is expanded to the", "the field MARK is filled in when the", "the literal text MARK", "the literal text QUOTED",
+    "in the template the token MARK means the", "the template writes MARK until", "der platzhalter MARK in der vorlage wird ersetzt", "path QUOTED", "path MARK is correct since it is expanded at start", "note MARK is an interpolated string in our source", "a value of MARK in the old code was",
+    "the words lorem ipsum are filler text that stands for real text", "somebody left lorem ipsum in the which we replaced with",
+    "the documentation says", "the manual explains", "for example write", "the test checks that", "the unit test checks that", "is shown to guests and", "reviewers see after", "which is by design", "is shown when", "the template language uses",
+    "returned 0 not found after the so it now keeps a redirect", "fixed an when a had", "answered with 0 for 0 seconds and recovered on its own", "browsers that ask users to enable javascript were tested", "works without any javascript", "seiten mit dem hinweis javascript werden verworfen",
 ]
 # The vocabulary of filler.
 FILLER = set(
