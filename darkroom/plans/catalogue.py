@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from darkroom.plans import archive_queries, match_queries, review_queries, state_queries
+from darkroom.plans import archive_queries, match_queries, review_queries, state_queries, status_queries
 
-_MODULES: list = [archive_queries, match_queries, review_queries, state_queries]
+_MODULES: list = [archive_queries, match_queries, review_queries, state_queries, status_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
