@@ -37,8 +37,35 @@ def resolve_chains(df: DataFrame, key: list[str], place: str) -> DataFrame:
     return out.select(*key, F.when(F.col("chain"), F.col("deepest")).alias("place"), F.when(~F.col("chain"), F.col("others")).alias("conflict"))
 
 
-def display_label(path: Column) -> Column:
-    """``parent · leaf`` of a place's path, without the root ``places``."""
-    parts = F.filter(F.split(path, "/"), lambda p: F.lower(p) != "places")
-    leaf = F.element_at(parts, -1)
-    return F.when(F.size(parts) > 1, F.concat_ws(" · ", F.element_at(parts, -2), leaf)).when(F.size(parts) == 1, leaf)
+# What administrative names add to the name of their city.
+CITY_PREFIX, CITY_SUFFIXES, GENITIVE_SUFFIX = "city of ", (" city", " municipality"), " stad"
+
+
+def _city(part: Column, between: Column) -> Column:
+    """The city that an administrative part names; null where it names none. ``between`` are all such parts."""
+    low = F.lower(part)
+    without = lambda n: F.trim(F.substring(part, F.lit(1), F.length(part) - n))
+    own = without(len(GENITIVE_SUFFIX))
+    # A genitive s goes where another part shows that it belongs to the name of the region.
+    shown = F.exists(between, lambda x: (x != part) & F.lower(x).startswith(F.concat(F.lower(own), F.lit(" "))))
+    stem = F.when(own.endswith("s") & shown, F.substring(own, F.lit(1), F.length(own) - 1)).otherwise(own)
+    out = F.when(low.endswith(GENITIVE_SUFFIX), stem).when(low.startswith(CITY_PREFIX), F.trim(F.substring(part, F.lit(len(CITY_PREFIX) + 1), F.length(part))))
+    for suffix in CITY_SUFFIXES:
+        out = out.when(low.endswith(suffix), without(len(suffix)))
+    return F.nullif(out, F.lit(""))
+
+
+def display_label(path: Column, automatic: Column | None = None) -> Column:
+    """``parent · leaf`` of a place's path, without the root ``places``; the leaf alone where the parent is the same.
+
+    Where ``automatic`` holds, a geocoder chose the path: the deepest part
+    between country and leaf that names a city stands for the parent.
+    """
+    parts = F.filter(F.transform(F.split(path, "/"), F.trim), lambda p: (F.lower(p) != "places") & (p != ""))
+    leaf, above = F.element_at(parts, -1), F.element_at(parts, -2)
+    if automatic is not None:
+        between = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+        city = F.get(F.filter(F.transform(F.reverse(between), lambda p: _city(p, between)), lambda c: c.isNotNull()), 0)
+        above = F.coalesce(F.when(automatic & (F.lower(city) != F.lower(leaf)), city), above)
+    label = F.when(F.lower(above) == F.lower(leaf), leaf).otherwise(F.concat_ws(" · ", above, leaf))
+    return F.when(F.size(parts) > 1, label).when(F.size(parts) == 1, leaf)

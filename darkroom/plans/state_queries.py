@@ -451,7 +451,7 @@ def place_chains(spark: SparkSession, base: str) -> DataFrame:
     return resolve_chains(rows, ["lat", "lon"], "place")
 
 
-@query(f"WITH {_PLACES} SELECT DISTINCT place, CASE WHEN len(l) > 1 THEN l[-2] || ' · ' || l[-1] ELSE l[-1] END AS label FROM (SELECT place, list_filter(string_split(place, '/'), lambda x: x <> 'places') AS l FROM plc)")
+@query(f"WITH {_PLACES} SELECT DISTINCT place, CASE WHEN len(l) > 1 AND lower(l[-2]) <> lower(l[-1]) THEN l[-2] || ' · ' || l[-1] ELSE l[-1] END AS label FROM (SELECT place, list_filter(string_split(place, '/'), lambda x: x <> 'places') AS l FROM plc)")
 def place_labels(spark: SparkSession, base: str) -> DataFrame:
     return places(spark, base).select("place", display_label(F.col("place")).alias("label")).distinct()
 

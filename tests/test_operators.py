@@ -13,10 +13,11 @@ from darkroom.operators.collections import CollectionFilter, covering, dump_filt
 from darkroom.operators.evaluation import detection_metrics, hash_sample, overlap, same_rows
 from darkroom.operators.geometry import alignment, decode_grid, to_pixels, to_source, to_unit
 from darkroom.operators.matching import best_people
+from darkroom.operators.places import display_label
 from darkroom.operators.ranges import neighbours, numbered, quantiles
 from darkroom.sources import sinks
 from darkroom.sources.files import capture_metadata, hash_files, inventory, read_bundles, read_manifest, scan_folder, stream_folder
-from darkroom.streaming.latest import counts_by_window
+from darkroom.streaming.latest import counts_by_window, insert_once
 
 
 def rows(df):
@@ -214,3 +215,25 @@ def test_counts_by_event_time(spark, tmp_path):
     q = counts_by_window(stream, "ts", "kind", "1 minute", "10 minutes").writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(x["kind"], x["n"]) for x in spark.table("counts").collect()} >= {("a", 2)}
+
+
+def test_labels_name_the_city_that_a_geocoder_gave(spark):
+    cases = [
+        ("Sweden/Stockholms län/Stockholms stad/Vasastan", True, "Stockholm · Vasastan"), ("Sweden/Uppsala län/Uppsala stad/Fålhagen", True, "Uppsala · Fålhagen"), ("Sweden/Borås region/Borås stad/X", True, "Borå · X"),
+        ("USA/New York/City of Albany/Pine Hills", True, "Albany · Pine Hills"), ("Japan/Kyoto City/Gion", True, "Kyoto · Gion"), ("Norway/Bergen municipality/Bergen", True, "Bergen municipality · Bergen"),
+        ("Sweden/Stockholms stad/Vasastan", False, "Stockholms stad · Vasastan"), ("Places/Rome/rome", True, "rome"), ("Places/Italy", True, "Italy"), ("Places", True, None), (None, True, None),
+    ]
+    out = [x[0] for x in spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "i int, p string, a boolean").orderBy("i").select(display_label(F.col("p"), F.col("a"))).collect()]
+    assert out == [c[2] for c in cases]
+
+
+def test_a_key_is_inserted_once_whatever_brings_it_again(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    write = lambda n, *keys: spark.createDataFrame([(k, f"{n}") for k in keys], "k long, v string").coalesce(1).write.mode("append").parquet(src)
+    run = lambda cp: insert_once(spark.readStream.schema("k long, v string").parquet(src), ["k"], out, str(tmp_path / cp), 4).awaitTermination(60)
+    write(1, 1, 2, 2)
+    run("a")
+    write(2, 2, 3)
+    run("a")
+    run("b")  # from the start again
+    assert rows(spark.read.parquet(out).select("k", "v")) == [(1, "1"), (2, "1"), (3, "2")]
