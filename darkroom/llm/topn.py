@@ -77,29 +77,31 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, ties: list
         pick = lambda kind: reduce(lambda rest, x: F.when(F.col(f"lo_{x}") != F.col(f"hi_{x}"), kind(x)).otherwise(rest), reversed(names), F.lit(None).cast("long"))
         return df.select("g", "n", "need", "cut", pick(lambda x: F.lit(int(x[1:])).cast("long")).alias("level"), pick(lambda x: F.col(f"lo_{x}")).alias("lo"), pick(lambda x: F.col(f"hi_{x}")).alias("hi"))
 
-    state = staging.save(interval(bounds(undecided, ["g"]).withColumn("need", F.lit(n).cast("long")).withColumn("cut", F.lit(None).cast("long"))))
+    # The write tells whether any group may be hot; only then are those listed.
+    large = F.count_if(F.col("n") > HOT_ROWS)
+    state, size = staging.observed(interval(bounds(undecided, ["g"]).withColumn("need", F.lit(n).cast("long")).withColumn("cut", F.lit(None).cast("long"))), large=large)
     bucket = lambda code, lo, hi: F.expr(f"({code} - {lo}) * {SLICES} div ({hi} - {lo} + 1)")
     parts, first = [], True
     while True:
-        hot = [r[0] for r in state.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).select("g").collect()]
+        hot = [r[0] for r in state.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).select("g").collect()] if size["large"] else []
         joined = lookup(undecided, state, "g", hot=hot)
         if first:
-            seen = joined.withColumn("side", F.lit(0))
+            sided = joined.withColumn("side", F.lit(0))
         else:
-            seen = joined.withColumn("side", F.when(F.col("slice") > F.col("cut"), 1).when(F.col("slice") == F.col("cut"), 0).otherwise(-1)).filter("side >= 0")
+            sided = joined.withColumn("side", F.when(F.col("slice") > F.col("cut"), 1).when(F.col("slice") == F.col("cut"), 0).otherwise(-1)).filter("side >= 0")
         taken = (F.col("side") == 1) | (F.col("n") <= F.col("need"))
         code = reduce(lambda rest, x: F.when(F.col("level") == int(x[1:]), F.col(x)).otherwise(rest), reversed(names), F.lit(None).cast("long"))
-        out = seen.withColumn("taken", taken).withColumn("code", code).withColumn("slice", bucket("code", "lo", "hi")).select("g", "item", *names, "need", "taken", "slice")
-        table = staging.save(out)
+        out = sided.withColumn("taken", taken).withColumn("code", code).withColumn("slice", bucket("code", "lo", "hi")).select("g", "item", *names, "need", "taken", "slice")
+        table, seen = staging.observed(out, left=F.count_if(~F.col("taken")))
         parts.append(table.filter("taken").select("g", "item"))
         undecided = table.filter("not taken")
-        if not undecided.limit(1).count():
+        if not seen["left"]:
             break
         counts = bounds(undecided, ["g", "slice", "need"])
         w = Window.partitionBy("g").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
         above = counts.withColumn("above", F.coalesce(F.sum("n").over(w), F.lit(0)))
         cut = above.filter("above < need and above + n >= need").withColumn("need", F.col("need") - F.col("above")).withColumn("cut", F.col("slice"))
-        state = staging.save(interval(cut))
+        state, size = staging.observed(interval(cut), large=large)
         undecided = undecided.drop("need", "taken")
         first = False
     return reduce(DataFrame.unionByName, parts).select(F.col("g").alias(group), F.col("item").alias(item))
