@@ -62,6 +62,11 @@ def p3_hierarchy(spark: SparkSession, base: str) -> DataFrame:
     return tree.join(paths, "v").select(F.col("v").alias("person_id"), F.col("root").alias("root_person_id"), "depth", "path", "descendants", "in_cycle", F.col("tree").alias("tree_id"), "entry", "exit")
 
 
+def p3_paths(spark: SparkSession, base: str) -> DataFrame:
+    """p3_hierarchy without the intervals, whose numbers depend on the order of siblings."""
+    return p3_hierarchy(spark, base).drop("tree_id", "entry", "exit")
+
+
 def p3_descendants(spark: SparkSession, base: str) -> DataFrame:
     """Every person with each person that was merged into it, directly or through others."""
     return descendant_pairs(tree_paths(_staged_tree(spark, base))).select(F.col("v").alias("person_id"), F.col("descendant").alias("merged_person_id"))
@@ -88,7 +93,7 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_instants": p1_instants, "p1_estimated": p1_estimated, "p1_recovery": p1_recovery, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_instants": p1_instants, "p1_estimated": p1_estimated, "p1_recovery": p1_recovery, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p6_found": p6_found}
 
 
 _LINKS = r"""links AS (
@@ -104,6 +109,12 @@ walk AS (
   UNION ALL
   SELECT w.v, k.p, w.depth + 1, list_append(w.seen, w.at), list_contains(w.seen, w.at)
   FROM walk w JOIN known k ON k.v = w.at WHERE k.p IS NOT NULL AND NOT w.circle)"""
+    found = """ends AS (SELECT v, max(depth) AS depth, bool_or(circle) AS circle FROM walk GROUP BY v)
+SELECT e.v AS person_id, CASE WHEN e.circle THEN list_min(list_slice(w.seen, list_position(w.seen, w.seen[-1]), len(w.seen) - 1)) ELSE w.at END AS root_person_id,
+       CASE WHEN e.circle THEN -1 ELSE e.depth END AS depth
+FROM ends e JOIN walk w ON w.v = e.v AND w.depth = e.depth"""
+    # On a circle nobody lies below another; a tree that hangs on it ends at the circle.
+    loops = "loops AS (SELECT DISTINCT w.v FROM walk w WHERE w.at = w.v), trees AS (SELECT w.* FROM walk w WHERE w.v NOT IN (SELECT v FROM loops) AND NOT EXISTS (SELECT 1 FROM loops l WHERE list_contains(w.seen, l.v)))"
     near = "2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 50"
     return {
         "p6_found": f"""WITH photos AS (SELECT DISTINCT lower(asset_revision_id) AS key, latitude AS lat, longitude AS lon FROM photo_capture_metadata WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0)),
@@ -111,13 +122,10 @@ places AS (SELECT DISTINCT place_value AS key, latitude AS lat, longitude AS lon
 SELECT DISTINCT 'photo' AS kind, a.key AS key_a, b.key AS key_b FROM photos a JOIN photos b ON a.key < b.key AND abs(a.lat - b.lat) < 0.001 WHERE {near}
 UNION SELECT 'place', a.key, b.key FROM photos a JOIN places b ON abs(a.lat - b.lat) < 0.001 WHERE {near}
 UNION SELECT 'area', a.key, b.area_id FROM photos a JOIN place_areas b ON a.lat BETWEEN b.south AND b.north AND a.lon BETWEEN b.west AND b.east""",
-        "p3_found": walk + """,
-ends AS (SELECT v, max(depth) AS depth, bool_or(circle) AS circle FROM walk GROUP BY v)
-SELECT e.v AS person_id, CASE WHEN e.circle THEN list_min(list_slice(w.seen, list_position(w.seen, w.seen[-1]), len(w.seen) - 1)) ELSE w.at END AS root_person_id,
-       CASE WHEN e.circle THEN -1 ELSE e.depth END AS depth
-FROM ends e JOIN walk w ON w.v = e.v AND w.depth = e.depth""",
-        "p3_descendants": walk + """,
--- On a circle nobody lies below another; a tree that hangs on it ends at the circle.
-loops AS (SELECT DISTINCT w.v FROM walk w WHERE w.at = w.v)
-SELECT DISTINCT w.at AS person_id, w.v AS merged_person_id FROM walk w WHERE w.v NOT IN (SELECT v FROM loops) AND NOT EXISTS (SELECT 1 FROM loops l WHERE list_contains(w.seen, l.v))""",
+        "p3_found": walk + ",\n" + found,
+        "p3_descendants": f"{walk}, {loops} SELECT DISTINCT t.at AS person_id, t.v AS merged_person_id FROM trees t",
+        "p3_paths": f"""{walk}, {loops}, ends AS (SELECT v, max(depth) AS depth, bool_or(circle) AS circle FROM walk GROUP BY v), found AS ({found.split("GROUP BY v)", 1)[1]}),
+paths AS (SELECT v, arg_max(list_append(seen, t.at), depth) AS chain FROM trees t GROUP BY v), below AS (SELECT t.at AS v, count(DISTINCT t.v) AS n FROM trees t GROUP BY 1)
+SELECT DISTINCT k.v AS person_id, coalesce(f.root_person_id, k.v) AS root_person_id, coalesce(f.depth, 0)::INTEGER AS depth, array_to_string(list_reverse(coalesce(p.chain, [k.v])), '/') AS path, coalesce(b.n, 0)::BIGINT AS descendants, k.v IN (SELECT v FROM loops) AS in_cycle
+FROM known k LEFT JOIN found f ON f.person_id = k.v LEFT JOIN paths p ON p.v = k.v LEFT JOIN below b ON b.v = k.v""",
     }
