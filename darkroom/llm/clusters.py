@@ -384,7 +384,9 @@ def _clusters(embeddings: DataFrame, crops: DataFrame, threshold: float, least:
     # A single vector's neighbours are the leaves' business.
     large = features.filter("n > 1")
     reduced = merge_features(large, "label", threshold, Pivots.sample(vectors, PER_CELL * LEVEL, seed + 2)).filter(F.col("kind") != DOUBTFUL).select("a", "b")
-    assigned = with_label(assign(leaves, large, threshold, pivots).withColumnRenamed("label", "b").distinct(), parts, "leaf").select(F.col("label").alias("a"), "b")
+    # Written first, as a lookup counts its left side.
+    near = staging.save(assign(leaves, large, threshold, pivots).withColumnRenamed("label", "b").distinct())
+    assigned = with_label(near, parts, "leaf").select(F.col("label").alias("a"), "b")
     # Leaves that share a face: each is linked with the smallest of them.
     pairs = members.select("model_id", "model_hash", "face_occurrence_id", "leaf").distinct()
     smallest = pairs.groupBy("model_id", "model_hash", "face_occurrence_id").agg(F.min("leaf").alias("a"), F.count(F.lit(1)).alias("leaves")).filter("leaves > 1").drop("leaves")
