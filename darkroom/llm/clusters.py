@@ -25,7 +25,7 @@ merge by adding.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +49,8 @@ BRANCHING = 32
 BATCH = 512
 #: How many times larger the cells of the second reduction are.
 LEVEL = 8
+#: Pairs that a feature offers for merging, and rows of features that are compared at a time: memory is bounded by ROWS x features of a cell.
+NEAREST, ROWS = 16, 512
 #: Standard deviations of a cosine between members by which a mean may fall short of the threshold before members are compared.
 WIDE = 4.0
 
@@ -163,23 +165,21 @@ def feature_leaves(x: np.ndarray, leaf_at: float) -> tuple[np.ndarray, np.ndarra
     return leaf, sums.astype(np.float32), counts
 
 
-def ward(sums: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The head of each feature after agglomeration, pairs that are linked, and pairs in doubt.
+def _pairs(mean: np.ndarray, counts: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, sure, doubtful, growth) of blocks of rows: which later features each is linked or in doubt with, and how much the squared error would grow."""
+    n, square = len(mean), (mean * mean).sum(axis=1)
+    spread = np.where(counts > 1, np.maximum(1 - square, 0), 0)
+    for lo in range(0, n, ROWS):
+        cos = mean[lo : lo + ROWS] @ mean.T
+        later = np.arange(n)[None, :] > np.arange(lo, lo + len(cos))[:, None]
+        sure = later & (cos >= threshold)
+        slack = WIDE * np.sqrt((spread[lo : lo + ROWS, None] + spread[None, :]) / mean.shape[1])
+        own = counts[lo : lo + ROWS, None]
+        growth = own * counts / (own + counts) * np.maximum(square[lo : lo + ROWS, None] + square - 2 * cos, 0)
+        yield lo, sure, later & ~sure & (cos + slack >= threshold), growth
 
-    The pair with the smallest growth of the squared error merges first, as long
-    as the mean cosine between what has grown is ``threshold`` at least; a
-    feature that merges with none is its own head. Linked are pairs of features
-    whose own mean reaches the threshold though their heads differ. In doubt are
-    pairs whose mean falls short, but by no more than WIDE deviations of the
-    cosine between their members.
-    """
-    n = len(counts)
-    mean = sums.astype(np.float64) / counts[:, None]
-    cos = mean @ mean.T
-    np.fill_diagonal(cos, -1)
-    spread = np.where(counts > 1, np.maximum(1 - (mean * mean).sum(axis=1), 0), 0)
-    a, b = np.nonzero(np.triu(cos + WIDE * np.sqrt((spread[:, None] + spread[None, :]) / sums.shape[1]) >= threshold, 1))
-    sure = cos[a, b] >= threshold
+
+def _finder(n: int) -> tuple[np.ndarray, Callable[[int], int]]:
     head = np.arange(n)
 
     def find(i: int) -> int:
@@ -188,34 +188,72 @@ def ward(sums: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.nda
             i = head[i]
         return i
 
-    s, m, age = sums.astype(np.float64).copy(), counts.astype(np.float64).copy(), np.zeros(n, dtype=np.int64)
+    return head, find
+
 
-    def cost(p: int, q: int) -> float:
-        gap = s[p] / m[p] - s[q] / m[q]
-        return m[p] * m[q] / (m[p] + m[q]) * float(gap @ gap)
+def ward(sums: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The head of each feature after agglomeration, pairs that are linked, and pairs in doubt.
 
-    gap = np.maximum((mean * mean).sum(axis=1)[a[sure]] + (mean * mean).sum(axis=1)[b[sure]] - 2 * cos[a[sure], b[sure]], 0)
-    first = counts[a[sure]] * counts[b[sure]] / (counts[a[sure]] + counts[b[sure]]) * gap
-    heap = [(c, int(i), int(j), 0, 0) for c, i, j in zip(first, a[sure], b[sure])]
+    The pair with the smallest growth of the squared error merges first, as long
+    as the mean cosine between what has grown is ``threshold`` at least; a
+    feature that merges with none is its own head. A feature offers its NEAREST
+    best pairs, so a crowd of near features doesn't queue all of its pairs.
+    Linked are pairs of features whose own mean reaches the threshold though
+    their heads differ, one for each two heads. In doubt are pairs that neither
+    merges nor links connect and whose mean falls short, but by no more than
+    WIDE deviations of the cosine between their members.
+    """
+    n = len(counts)
+    counts = counts.astype(np.float64)
+    mean = sums.astype(np.float64) / counts[:, None]
+    s, m, age = sums.astype(np.float64).copy(), counts.copy(), np.zeros(n, dtype=np.int64)
+    head, find = _finder(n)
+    heap: list[tuple[float, int, int, int, int]] = []
+    for lo, sure, _, growth in _pairs(mean, counts, threshold):
+        cost = np.where(sure, growth, np.inf)
+        k = min(NEAREST, n - 1)
+        best = np.argpartition(cost, k, axis=1)[:, :k] if 0 < k < n - 1 else np.tile(np.arange(n), (len(cost), 1))
+        value = np.take_along_axis(cost, best, axis=1)
+        i, c = np.nonzero(np.isfinite(value))
+        heap += [(v, a, b, 0, 0) for v, a, b in zip(value[i, c].tolist(), (i + lo).tolist(), best[i, c].tolist())]
     heapq.heapify(heap)
+    queued: set[tuple[int, int, int, int]] = set()
     while heap:
         _, i, j, was_i, was_j = heapq.heappop(heap)
         p, q = find(i), find(j)
         if p == q:
             continue
-        if (p, q, age[p], age[q]) != (i, j, was_i, was_j):
-            # One of the two has grown: its cost is another now.
-            if s[p] @ s[q] >= threshold * m[p] * m[q]:
-                heapq.heappush(heap, (cost(p, q), p, q, age[p], age[q]))
-            continue
         p, q = min(p, q), max(p, q)
+        now = (p, q, int(age[p]), int(age[q]))
+        if now != (i, j, was_i, was_j):
+            # One of the two has grown: its cost is another now, and is queued once.
+            if now not in queued and s[p] @ s[q] >= threshold * m[p] * m[q]:
+                queued.add(now)
+                gap = s[p] / m[p] - s[q] / m[q]
+                heapq.heappush(heap, (m[p] * m[q] / (m[p] + m[q]) * float(gap @ gap), *now))
+            continue
         head[q] = p
         s[p] += s[q]
         m[p] += m[q]
         age[p] += 1
     head = np.array([find(i) for i in range(n)], dtype=np.int64)
-    pairs, apart = np.stack([a, b], axis=1), head[a] != head[b]
-    return head, pairs[sure & apart], pairs[~sure & apart]
+    whole, join = _finder(n)
+    linked: dict[tuple[int, int], tuple[int, int]] = {}
+    for lo, sure, _, _ in _pairs(mean, counts, threshold):
+        i, j = np.nonzero(sure & (head[lo : lo + len(sure), None] != head[None, :]))
+        a, b = head[i + lo], head[j]
+        code, first = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
+        for c, f in zip(code.tolist(), first.tolist()):
+            if (pair := divmod(c, n)) not in linked:
+                linked[pair] = (int(i[f]) + lo, int(j[f]))
+                p, q = join(pair[0]), join(pair[1])
+                whole[max(p, q)] = min(p, q)
+    joined = np.array([join(h) for h in head], dtype=np.int64)
+    doubtful = [np.zeros((0, 2), dtype=np.int64)]
+    for lo, _, maybe, _ in _pairs(mean, counts, threshold):
+        i, j = np.nonzero(maybe & (joined[lo : lo + len(maybe), None] != joined[None, :]))
+        doubtful.append(np.stack([i + lo, j], axis=1))
+    return head, np.array(sorted(linked.values()), dtype=np.int64).reshape(-1, 2), np.concatenate(doubtful)
 
 
 def leaves_of(embeddings: DataFrame, threshold: float, staging: Staging, seed: int) -> tuple[DataFrame, Pivots]:
