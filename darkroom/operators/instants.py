@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.functions.times import parse_time, read_parts, to_utc_seconds, wall_clock
-from darkroom.operators.skew import HOT_ROWS, HOT_SHARE, lookup
+from darkroom.operators.ranges import surrounding
+from darkroom.plans.staging import Staging
 
 #: Offsets that a place can have, in minutes.
 OFFSET_LIMIT = 840
@@ -77,53 +78,50 @@ def resolve_instants(df: DataFrame, key: str, text: str, offset: str, zone: str)
 CANDIDATES = tuple(range(-OFFSET_LIMIT, OFFSET_LIMIT + 1, 15))
 #: Cost of a change of offset between neighbouring segments, in violations.
 CHANGE = 3.0
-#: Slots into which a segment is cut to find the known instants before and after a row.
-SLOTS = 64
 
+def known_around(base: DataFrame, staging: Staging) -> DataFrame:
+    """(source, at, local_s, n, before, after): the rows of ``base`` (source, at, local_s, known_s) without an instant, equal ones as one with their number n, and the known instants that came in last before and first after each in its source.
 
-def _neighbours(base: DataFrame) -> DataFrame:
-    """(source, slot, before, after): the last known instant of the earlier slots of a segment, and the first of the later ones.
-
-    Known instants are reduced to one row a slot before they are sorted, so a
-    source's rows are never in one place.
+    Rows that came in at one time have no order; of several known instants of
+    one time the last counts as before and the first as after. Known instants
+    are reduced to one row a time, and all are ordered by ranges, so a source
+    may have any number of rows.
     """
-    slots = base.groupBy("source", "segment", "slot").agg(F.max_by("known_s", F.when(F.col("known_s").isNotNull(), F.struct("seen", "known_s"))).alias("last"), F.min_by("known_s", F.when(F.col("known_s").isNotNull(), F.struct("seen", "known_s"))).alias("first"))
-    w = Window.partitionBy("source", "segment").orderBy("slot")
-    before = F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return slots.select("source", "slot", before.alias("before"), after.alias("after"))
+    # At one time the instants that count as after come first, then the rows that look for them, then those that count as before.
+    known = base.filter("known_s is not null").groupBy("source", "at").agg(F.min("known_s").alias("lo"), F.max("known_s").alias("hi"))
+    known = known.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(2)))).select("source", "at", "turn", F.when(F.col("turn") == 2, F.col("hi")).alias("hi"), F.when(F.col("turn") == 0, F.col("lo")).alias("lo"))
+    unknown = base.filter("known_s is null").groupBy("source", "at", "local_s").agg(F.count(F.lit(1)).alias("n")).withColumn("turn", F.lit(1))
+    line = surrounding(unknown.unionByName(known, allowMissingColumns=True), "source", ["at", "turn", "local_s"], "hi", "lo", staging)
+    return line.filter("turn = 1").select("source", "at", "local_s", "n", "before", "after")
 
 
-def estimate_offsets(rows: DataFrame, source: str, sequence: str, segment_s: int) -> DataFrame:
+def estimate_offsets(rows: DataFrame, source: str, sequence: str, segment_s: int, staging: Staging | None = None) -> DataFrame:
     """(source, segment, offset_min, violations, rows): the offset history of every source that violates least.
 
     ``rows`` has ``source`` (a camera, a folder, an import), ``sequence`` (the
     time at which a row came in, as a timestamp), local_s (wall clock, seconds)
     and known_s (its instant where something determines it, else null). A
-    source's rows are cut into segments of ``segment_s`` seconds, and these into
-    SLOTS slots. For each segment each of CANDIDATES is tried on the rows
-    without an instant: it is violated where a photo would be taken after it
-    came in, before the last known instant of the earlier slots, or after the
-    first of the later ones. Rows that are known vote for their own offset. A
+    source's rows are cut into segments of ``segment_s`` seconds. For each segment
+    each of CANDIDATES is tried on the rows without an instant: it is violated
+    where a photo would be taken after it came in, before the known instant that
+    came in last before it, or after the one that came in first after it, in
+    whatever segments these are. Rows that are known vote for their own offset. A
     shortest path over the segments of a source, where a change of offset costs
     CHANGE, gives the history; ties go to the smaller offset. Rows without
     source, sequence or wall clock are ignored.
 
-    All is counted by aggregations that combine before the shuffle: known rows
-    by slot and offset, the others by candidate. A slot's known instants are
-    met by rows through a lookup that keeps hot slots apart, so a source with a
-    third of all rows costs no more than others; the path sees len(CANDIDATES)
-    numbers a segment.
+    Rows meet their neighbours in ranges of source and sequence, so a source with
+    a third of all rows costs no more than others; the rest is counted by
+    aggregations that combine before the shuffle, known rows by offset, the
+    others by candidate. The path sees len(CANDIDATES) numbers a segment.
     """
-    seen = F.unix_seconds(F.col(sequence))
-    base = rows.filter(F.col(source).isNotNull() & F.col(sequence).isNotNull() & F.col("local_s").isNotNull()).select(
-        F.col(source).alias("source"), seen.alias("seen"), F.floor(seen / segment_s).alias("segment"), F.floor(seen * SLOTS / segment_s).alias("slot"), "local_s", "known_s")
-    near = _neighbours(base).select(F.struct("source", "slot").alias("at"), "before", "after")
-    unknown = lookup(base.filter("known_s is null").withColumn("at", F.struct("source", "slot")), near, "at", "left", hot=_hot_slots(base))
+    segment = F.floor(F.col("seen") / segment_s)
+    base = rows.filter(F.col(source).isNotNull() & F.col(sequence).isNotNull() & F.col("local_s").isNotNull()).select(F.col(source).alias("source"), F.unix_micros(F.col(sequence)).alias("at"), F.unix_seconds(F.col(sequence)).alias("seen"), "local_s", "known_s").withColumn("segment", segment)
+    unknown = known_around(base, staging or Staging(rows.sparkSession, "offsets")).withColumn("seen", F.unix_seconds(F.timestamp_micros("at"))).withColumn("segment", segment)
     offset = F.explode(F.array(*[F.lit(m) for m in CANDIDATES]))
     taken = F.col("local_s") - F.col("offset_min") * 60
     wrong = (taken > F.col("seen")).cast("int") + F.coalesce((taken < F.col("before")).cast("int"), F.lit(0)) + F.coalesce((taken > F.col("after")).cast("int"), F.lit(0))
-    of_unknown = unknown.withColumn("offset_min", offset).groupBy("source", "segment", "offset_min").agg(F.sum(wrong).alias("cost"), F.count(F.lit(1)).alias("n"))
+    of_unknown = unknown.withColumn("offset_min", offset).groupBy("source", "segment", "offset_min").agg(F.sum(wrong * F.col("n")).alias("cost"), F.sum("n").alias("n"))
     # A known row violates every candidate but its own.
     votes = base.filter("known_s is not null").groupBy("source", "segment", ((F.col("local_s") - F.col("known_s")) / 60).alias("own")).agg(F.count(F.lit(1)).alias("n"))
     of_known = votes.withColumn("offset_min", offset).groupBy("source", "segment", "offset_min").agg(F.sum(F.when(F.col("own") == F.col("offset_min"), 0).otherwise(F.col("n"))).alias("cost"), F.sum("n").alias("n"))
@@ -152,11 +150,6 @@ def estimate_offsets(rows: DataFrame, source: str, sequence: str, segment_s: int
     return costs.groupBy("source").applyInPandas(path, f"source {kind}, segment long, offset_min int, violations long, rows long").withColumnRenamed("source", source)
 
 
-def _hot_slots(base: DataFrame) -> list:
-    """The slots with very many unknown rows, as struct values; fewer than 1/HOT_SHARE."""
-    return [F.struct(F.lit(r["source"]).alias("source"), F.lit(r["slot"]).alias("slot")) for r in base.filter("known_s is null").groupBy("source", "slot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).collect()]
-
-
 def estimate_instants(rows: DataFrame, source: str, sequence: str, segment_s: int) -> DataFrame:
     """``rows`` (as for ``estimate_offsets``) with est_s: known_s, or else the instant by the estimated offset of its segment."""
     history = estimate_offsets(rows, source, sequence, segment_s).select(F.col(source), "segment", "offset_min")

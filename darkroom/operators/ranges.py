@@ -47,6 +47,34 @@ def neighbours(df: DataFrame, key: str, order: list[Column], staging: Staging) -
     return rows.select(key, F.coalesce(F.lag(key).over(w), _by_part(last_before, kind)).alias("previous"), F.coalesce(F.lead(key).over(w), _by_part(first_after, kind)).alias("next"), F.col("position").cast("long").alias("position"), F.lit(total).cast("long").alias("total"))
 
 
+def surrounding(df: DataFrame, group: str, order: list[str], above: str, below: str, staging: Staging) -> DataFrame:
+    """``df`` with before, the last value of ``above`` in the rows before each, and after, the first of ``below`` in the rows after it, in ``order`` within ``group`` of any length; nulls are passed over.
+
+    Rows see their own range; of each range the driver knows its last value of
+    ``above`` and first of ``below`` with their groups.
+    """
+    ordered = in_ranges(df, [F.col(group), *[F.col(c) for c in order]], staging)
+    at = F.struct(group, *order)
+    last, first = [f(F.struct(group, c), F.when(F.col(c).isNotNull(), at)) for f, c in ((F.max_by, above), (F.min_by, below))]
+    ends = ordered.groupBy("__p").agg(last.alias("last"), first.alias("first")).orderBy("__p").collect()
+    kinds = dict(df.dtypes)
+
+    def beyond(rows: list, end: str, value: str) -> Column:
+        found, carried = {}, None
+        for r in rows:
+            if carried is not None:
+                found[r["__p"]] = carried
+            carried = r[end] or carried
+        same = _by_part({p: x[group] for p, x in found.items()}, kinds[group]) == F.col(group)
+        return F.when(same, _by_part({p: x[value] for p, x in found.items()}, kinds[value]))
+
+    # Both look back, the second from below: Spark goes over all that follows a row anew for each row.
+    w, up = [Window.partitionBy("__p", group).orderBy(*c).rowsBetween(Window.unboundedPreceding, -1) for c in (order, [F.desc(c) for c in order])]
+    before, after = F.last(above, ignorenulls=True).over(w), F.last(below, ignorenulls=True).over(up)
+    filled = ordered.withColumn("before", before).withColumn("after", after)
+    return filled.withColumn("before", F.coalesce("before", beyond(ends, "last", above))).withColumn("after", F.coalesce("after", beyond(ends[::-1], "first", below))).drop("__p")
+
+
 def quantiles(df: DataFrame, column: str, staging: Staging) -> DataFrame:
     """One row (files, mean, median, p95): the median of an even number is the mean of two, p95 is the value at the nearest rank.
 

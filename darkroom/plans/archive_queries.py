@@ -23,15 +23,17 @@ def _staged_tree(spark: SparkSession, base: str) -> DataFrame:
     return Staging(spark, "p3t").save(_tree(spark, base))
 
 
-def _dated(spark: SparkSession, base: str) -> DataFrame:
-    """Rows with a wall clock, their instant where they determine one, and the band of longitude that stands for a camera."""
+def _dated(spark: SparkSession, base: str, label: str) -> DataFrame:
+    """Rows with a wall clock, their instant where they determine one, and the band of longitude that stands for a camera, staged under ``label``."""
+    staging = Staging(spark, label)
     meta = read_table(spark, base, "photo_capture_metadata").distinct()
     row = F.concat_ws(" ", F.col("asset_revision_id"), F.unix_micros("extracted_at"))
-    read = resolve_instants(meta.withColumn("row", row), "row", "taken_at_local", "utc_offset_minutes", "capture_zone")
+    # Written before they are filtered: a filter would be pushed down and repeat all that reads a text.
+    read = staging.save(resolve_instants(meta.withColumn("row", row), "row", "taken_at_local", "utc_offset_minutes", "capture_zone"))
     # The nearest thing to a camera in these tables is the hour's band of longitude in which a photo was taken.
     band = F.when(F.col("longitude").between(-180, 180), F.floor(F.col("longitude") / 15)).otherwise(F.lit(99)).cast("int")
     sources = meta.select(row.alias("row"), "asset_revision_id", "extracted_at", band.alias("band"))
-    return read.filter("local_s is not null").join(sources, "row").withColumn("known_s", F.floor(F.col("utc_ms") / 1000)).select("row", "asset_revision_id", "extracted_at", "band", "local_s", "sub_ms", "known_s")
+    return staging.save(read.filter("local_s is not null").join(sources, "row").withColumn("known_s", F.floor(F.col("utc_ms") / 1000)).select("row", "asset_revision_id", "extracted_at", "band", "local_s", "sub_ms", "known_s"))
 
 
 def p1_estimated(spark: SparkSession, base: str) -> DataFrame:
@@ -39,14 +41,14 @@ def p1_estimated(spark: SparkSession, base: str) -> DataFrame:
 
     An estimate, kept apart from p1_found; p1_recovery measures it.
     """
-    rows = Staging(spark, "p1").save(_dated(spark, base))
+    rows = _dated(spark, base, "p1")
     est = estimate_instants(rows, "band", "extracted_at", 30 * 86_400).filter("known_s is null and est_s is not null")
     return est.groupBy("asset_revision_id").agg(F.min(F.col("est_s") * 1000 + F.col("sub_ms")).alias("taken_utc_ms"))
 
 
 def p1_recovery(spark: SparkSession, base: str) -> DataFrame:
     """How many known instants the estimate gives back, if one in ten is hidden."""
-    rows = Staging(spark, "p1r").save(_dated(spark, base))
+    rows = _dated(spark, base, "p1r")
     return recovery(rows, "band", "extracted_at", 30 * 86_400, "row")
 
 

@@ -1,9 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from darkroom.operators.instants import estimate_offsets, recovery, resolve_instants
+from darkroom.operators.instants import estimate_offsets, known_around, recovery, resolve_instants
 
 UTC = dt.timezone.utc
 SCHEMA = "id string, text string, off int, zone string, extra string"
@@ -120,3 +121,44 @@ def test_order_alone_tells_the_offset(spark):
         rows.append(("cam", true + 1, true + 7200, true if i % 20 == 0 else None))
     df = spark.createDataFrame(rows, "cam string, seen long, local_s long, known_s long").withColumn("seen", F.timestamp_seconds("seen"))
     assert {r["offset_min"] for r in estimate_offsets(df, "cam", "seen", 86400).collect()} == {120}
+
+
+def camera(spark, rows):
+    df = spark.createDataFrame(rows, "cam string, seen long, local_s long, known_s long")
+    return df.withColumn("seen", F.timestamp_seconds("seen"))
+
+
+def test_order_tells_the_offset_however_close_rows_come_in(spark):
+    """A clock at -300 among instants of a UTC clock, all come in within seven minutes of a segment of 64 days."""
+    rows, start = [], int(dt.datetime(2021, 3, 1, tzinfo=UTC).timestamp())
+    for i in range(400):
+        true = start + i * 600
+        rows.append(("cam", start + 3 * 10**6 + i, true - 300 * 60 if i % 10 else true, None if i % 10 else true))
+    assert [r["offset_min"] for r in estimate_offsets(camera(spark, rows), "cam", "seen", 64 * 86400).collect()] == [-300]
+
+
+def test_order_holds_across_segments(spark):
+    """Hours with instants around an hour without any."""
+    rows, start = [], int(dt.datetime(2021, 3, 1, tzinfo=UTC).timestamp())
+    for i in range(180):
+        true = start + i * 60
+        inside = 60 <= i < 120
+        rows.append(("cam", true, true - 300 * 60 if inside else true, None if inside else true))
+    out = {(r["segment"] - start // 3600): r["offset_min"] for r in estimate_offsets(camera(spark, rows), "cam", "seen", 3600).collect()}
+    assert out == {0: 0, 1: -300, 2: 0}
+
+
+def test_known_instants_around_rows(spark, staging):
+    """Against a plain search, with ranges that cut through a source of most rows and through rows of one time."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "a", "b", "c", "d"]), rng.choice([7, rng.randrange(300)]), rng.randrange(50), rng.choice([None, None, rng.randrange(900)])) for _ in range(1500)]
+    rows += [("all unknown", t, 1, None) for t in range(20)] + [("all known", t, 1, t) for t in range(20)]
+    out = known_around(spark.createDataFrame(rows, "source string, at long, local_s long, known_s long"), staging).collect()
+    expected = {}
+    for source, at, local, known in rows:
+        if known is None:
+            earlier = [(t, k) for s, t, _, k in rows if s == source and k is not None and t < at]
+            later = [(t, k) for s, t, _, k in rows if s == source and k is not None and t > at]
+            n = expected.get((source, at, local), (0,))[0]
+            expected[source, at, local] = (n + 1, max(earlier)[1] if earlier else None, min(later)[1] if later else None)
+    assert {(r["source"], r["at"], r["local_s"]): (r["n"], r["before"], r["after"]) for r in out} == expected and len(out) == len(expected)
